@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import parse as ps, text as tx
+from ..session import stack
 from . import profile as pf, rank as rk, tfidf
 from .rows import explode_candidates
 
@@ -79,8 +80,8 @@ def cosine_vocabs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Word and character vocabularies fitted on candidate texts and, once per candidate, the task."""
     elem = explode_candidates(df, False).select("id", "cand_pos", _elem().alias("_e"))
     task = df.filter(F.size("cands") > 0).select("id", F.lit(-1).alias("cand_pos"), "task", F.size("cands").alias("_n"))
-    docs = lambda f: (elem.select("id", "cand_pos", F.lit(1).alias("n"), f("_e").alias("terms"))
-                      .unionByName(task.select("id", "cand_pos", F.col("_n").alias("n"), f("task").alias("terms"))))
+    docs = lambda f: stack(elem.select("id", "cand_pos", F.lit(1).alias("n"), f("_e").alias("terms")),
+                           task.select("id", "cand_pos", F.col("_n").alias("n"), f("task").alias("terms")))
     word = tfidf.fit(docs(tfidf.word_terms), ("id", "cand_pos"), ("terms",), WORD_FEATURES, 2, "n")
     char = tfidf.fit(docs(tfidf.char_terms), ("id", "cand_pos"), ("terms",), CHAR_FEATURES, 2, "n")
     return word, char

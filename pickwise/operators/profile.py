@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.stopwords import PROFILE, SCORING
+from ..session import stack
 from ..sources.schema import OPS
 
 
@@ -184,7 +185,7 @@ def key_intersect(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def site_overlap(train: DataFrame, test: DataFrame, key: str = "site_token") -> DataFrame:
     """How many keys are only in one frame or in both; one full pass over pre-aggregated keys."""
     side = lambda df, i: df.select(key).distinct().select(key, F.lit(i == 0).alias("a"), F.lit(i == 1).alias("b"))
-    keys = side(train, 0).unionByName(side(test, 1)).groupBy(key).agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
+    keys = stack(side(train, 0), side(test, 1)).groupBy(key).agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
     a, b = F.col("a"), F.col("b")
     return keys.agg(F.count_if(a & ~b).alias("only_train"), F.count_if(~a & b).alias("only_test"), F.count_if(a & b).alias("both"))
 

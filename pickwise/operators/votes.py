@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.schema import OPS  # noqa: F401
+from ..session import stack
 
 
 def vote(preds: DataFrame, n_folds: int, ids: DataFrame | None = None) -> DataFrame:
@@ -28,7 +28,4 @@ def unanimity(votes: DataFrame) -> DataFrame:
 
 def union_all(*frames: DataFrame) -> DataFrame:
     """Stack frames of the same columns."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return stack(*frames)

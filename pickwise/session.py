@@ -13,11 +13,40 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
+FORCED = {
+    # Matching and regex work costs far more per byte than a scan: keep small shuffles parallel.
+    # Large shuffles are sized by the advisory partition size as usual.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # Spark 4.1 reports the hash partitioning of a union whose inputs are co-partitioned, but adaptive
+    # execution may coalesce the inputs differently; a later aggregate without its own shuffle then
+    # sees one key in two partitions. Off means one more exchange after such a union.
+    "spark.sql.unionOutputPartitioning": "false",
+}
+
+
+def tune(spark: SparkSession) -> None:
+    """Set the forced settings, and the defaults that the session left open."""
+    for key, value in SESSION_DEFAULTS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    for key, value in FORCED.items():
+        spark.conf.set(key, value)
+
+
+def stack(*frames: DataFrame) -> DataFrame:
+    """Union by name that stays right below an aggregate or window on the partitioning key."""
+    key = "spark.sql.unionOutputPartitioning"
+    frames[0].sparkSession.conf.set(key, FORCED[key])
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
 
 def local_session(cpus: int | str = "*", memory: str = "16g", partitions: int = 8) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     b = SparkSession.builder.master(f"local[{cpus}]").appName("pickwise")
-    for key, value in SESSION_DEFAULTS.items():
+    for key, value in (SESSION_DEFAULTS | FORCED).items():
         b = b.config(key, value)
     spark = (
         b.config("spark.sql.shuffle.partitions", str(partitions))

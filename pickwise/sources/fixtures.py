@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import materialize
+from ..session import materialize, tune
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -136,5 +136,6 @@ _FIXTURES: dict[tuple[str, str], Fixture] = {}
 def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _FIXTURES:
+        tune(spark)
         _FIXTURES[key] = Fixture(spark, key[1])
     return _FIXTURES[key]
