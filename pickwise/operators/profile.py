@@ -134,14 +134,14 @@ OPEN_BINS = ((0, 0), (1, 3), (4, 6), (7, 9), (10, 14), (15, 99))
 
 
 def binned_accuracy(df: DataFrame, size: str, hit: str, bins=OPEN_BINS) -> DataFrame:
-    """Accuracy per size bucket; empty buckets stay in the report."""
-    last = bins[-1][1]
-    label = F.lit(None).cast("string")
-    for lo, hi in reversed(bins):
-        label = F.when(F.col(size).between(lo, hi), f"{lo}-{hi}").otherwise(label)
-    got = df.filter(F.col(size) <= last).groupBy(label.alias("bin")).agg(F.count(F.lit(1)).alias("n"), share(F.col(hit)).alias("accuracy"))
-    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(f"{lo}-{hi}") for lo, hi in bins])).alias("bin"))
-    return names.join(got, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"))
+    """Accuracy per size bucket; empty buckets stay in the report.
+
+    One row of conditional aggregates, turned into one row per bucket.
+    """
+    inside = lambda b: F.col(size).between(*b)
+    row = df.agg(*[F.struct(F.count_if(inside(b)).alias("n"), F.coalesce(F.avg(F.when(inside(b), F.col(hit).cast("double"))), F.lit(0.0)).alias("accuracy"))
+                   .alias(f"{b[0]}-{b[1]}") for b in bins])
+    return row.unpivot([], row.columns, "bin", "v").select("bin", "v.n", "v.accuracy")
 
 
 def histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int) -> DataFrame:
