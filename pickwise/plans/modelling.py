@@ -5,13 +5,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import models as md, rank as rk, rows as rw, split as sp
+from ..operators import models as md, rank as rk, rows as rw, rules as rl, split as sp
 from ..session import scratch_dir
 from ..sources import io
 from ..streaming import scoring as st
 from .basic import r6
 from .registry import query
-from .scoring import BASE
+from .scoring import BASE, _ANSWER, _CLICKABLE, _GUARD_OUT, _GUARD_TAIL, _LOOSE, _MATCH, _OPTS
 
 COLS = (*BASE, "cleaned_html")
 
@@ -159,7 +159,12 @@ def _(fx):
     return fx.spark.read.schema("id string, n int").parquet(out)
 
 
-@query("q13_1_score_stream")
+# the heuristic answers of all decisions, then the guard
+_STREAMED = (_ANSWER + ", " + _MATCH.strip()[len("with "):] + _OPTS + """, p9 as (select an.id, false as bad_op_to_click, false as inv, pred_op as op, pred_target_id as target_id, pred_value as value from an)"""
+             + _CLICKABLE + _GUARD_TAIL.replace("{src}", "p9"))
+
+
+@query("q13_1_score_stream", _STREAMED + "select id::varchar as id, op, target_id, case when op='CLICK' then '' else v2 end as value from g6")
 def _(fx):
     out = _out(fx, "answers")
     st.score_stream(fx.spark, _stream_source(fx), out, _out(fx, "ckpt")).awaitTermination()
@@ -168,7 +173,8 @@ def _(fx):
     return streamed.select("id", "op", "target_id", "value")
 
 
-@query("q13_2_running_counts")
+@query("q13_2_running_counts", _STREAMED + ", fl as (select op," + _GUARD_OUT.format(strict=_LOOSE) + " from g6), ct2 as (select concat('op=', op) as item, count(*) as n from fl group by op" + "".join(
+    f" union all select '{f}', count(*) filter (where {f}) from fl" for f in rl.AUDIT) + ") select item, n from ct2 where n > 0")
 def _(fx):
     out, name = _out(fx, "answers"), "counts_" + uuid.uuid4().hex[:8]
     st.score_stream(fx.spark, _stream_source(fx), out, _out(fx, "ckpt")).awaitTermination()
