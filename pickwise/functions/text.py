@@ -47,8 +47,7 @@ def alpha_list(c: ColumnLike) -> Column:
 
 def tokenize(c: ColumnLike, stop: Sequence[str] = SCORING) -> Column:
     """Letter-initial tokens without stop words, repeats kept."""
-    words = stop_array(stop)
-    return F.filter(alpha_list(c), lambda t: ~F.array_contains(words, t))
+    return F.filter(alpha_list(c), lambda t: ~t.isin("", *stop))
 
 
 def token_set(c: ColumnLike, stop: Sequence[str] = SCORING) -> Column:

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import parse as ps, text as tx
+from ..session import pin
 from . import dom, rank as rk, rules as rl
 from .rules import BLANK, let
 
@@ -131,7 +132,7 @@ def build_prompt(df: DataFrame, cands: str = "cands", examples: DataFrame | None
         d = d.join(examples.select("id", "examples"), "id", "left")
     if tree is not None:
         d = d.join(tree.select("id", "tree"), "id", "left")
-    d = d.withColumn("_w", ps.workflow_status("cleaned_html")).withColumn("_kind", ps.html_type("cleaned_html"))
+    d = pin(d.withColumn("_w", ps.workflow_status("cleaned_html")).withColumn("_kind", ps.html_type("cleaned_html")), "_w", "_kind")
     c = F.col(cands)
     n = F.size(c).cast("string")
     numbered = format_candidates(c, "legacy" if variant == "early" else mode)
@@ -226,18 +227,20 @@ def hard_negative(df: DataFrame, places: DataFrame | None = None, score: Callabl
     (up to 1) + 0.5 for the same parent + 1.5 × rank share by relevance + 0.2 for the same tag; the
     first one wins ties. Null when the target is absent or alone.
     """
-    d = rl.with_fields(df).withColumn("_tp", rk.target_pos())
+    d = pin(rl.with_fields(df).withColumn("_tp", rk.target_pos()), "_tp")
     if places is not None:
         d = d.join(places, "id", "left")
-    d = d.withColumn("_t", F.try_element_at("cf", F.col("_tp") + 1))
+    d = pin(d.withColumn("_t", F.try_element_at("cf", F.col("_tp") + 1)), "_t")
     score = score or (lambda f: rl.match_score(f, F.col("tl"), F.col("tw")))
     t = F.col("_t")
     others = F.filter(F.transform("cf", lambda f, i: F.struct(i.alias("i"), f.alias("f"))), lambda o: o["i"] != F.col("_tp"))
     d = d.withColumn("_o", F.when(F.col("_tp").isNotNull(), others)).withColumn("_k", F.filter("_o", lambda o: ~is_false_negative(o["f"], t)))
+    d = pin(d, "_o", "_k")
     pool = F.when(F.size("_k") > 0, F.col("_k")).otherwise(F.col("_o"))
     d = d.withColumn("_o", F.transform(pool, lambda o: F.struct(o["i"].alias("i"), o["f"]["tag"].alias("tag"), F.round(score(o["f"]), 9).alias("s"))))
+    d = pin(d, "_o")
     if places is not None:
-        d = d.withColumn("_tpath", path_at(F.col("places"), F.col("_tp")))
+        d = pin(d.withColumn("_tpath", path_at(F.col("places"), F.col("_tp"))), "_tpath")
 
         def near(o: Column) -> Column:
             def points(p: Column) -> Column:
@@ -256,7 +259,7 @@ def hard_negative(df: DataFrame, places: DataFrame | None = None, score: Callabl
         return F.round(near(o) + 1.5 * (n - ahead) / n + F.when(o["tag"] == t["tag"], 0.2).otherwise(0.0), 9)
 
     best = F.array_max(F.transform(o_, lambda o: F.struct(total(o).alias("s"), (-o["i"]).alias("i"))))
-    return d.withColumn("_b", best).select(*df.columns, *(["places"] if places is not None else []), (-F.col("_b.i")).alias("neg_pos"), F.col("_b.s").alias("neg_score"))
+    return pin(d.withColumn("_b", best), "_b").select(*df.columns, *(["places"] if places is not None else []), (-F.col("_b.i")).alias("neg_pos"), F.col("_b.s").alias("neg_score"))
 
 
 # ---------------------------------------------------------------- augmentation
@@ -275,14 +278,16 @@ def augment_shuffle(df: DataFrame, n: int = 1, realweb_mult: int = 3, seed: int
         d = d.filter("aug > 0")
     key = lambda c: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), F.col("aug").cast("string"), c["candidate_id"]))
     keyed = F.transform("cands", lambda c, i: F.struct(F.when(F.col("aug") > 0, key(c)).otherwise("").alias("h"), i.alias("i"), c.alias("c")))
-    d = d.withColumn("_s", F.transform(F.array_sort(keyed), lambda s: s["c"])).withColumn("_tp", rk.target_pos("_s"))
+    d = d.withColumn("_s", F.transform(F.array_sort(keyed), lambda s: s["c"]))
+    d = pin(pin(d, "_s").withColumn("_tp", rk.target_pos("_s")), "_tp")
     s = F.col("_s")
     tag = F.element_at(s, F.col("_tp") + 1)["tag"]
     same = F.filter(F.transform(s, lambda c, i: F.when((i != F.col("_tp")) & (c["tag"] == tag), i)), lambda i: i.isNotNull())
     d = d.withColumn("_hn", F.when(F.col("aug") > 0, F.try_element_at(same, F.lit(1)))).withColumn("_to", F.when(F.col("_tp") > 0, F.col("_tp") - 1).otherwise(F.col("_tp") + 1))
+    d = pin(d, "_hn", "_to")
     hn, to = F.col("_hn"), F.col("_to")
     swapped = F.transform(s, lambda c, i: F.when(i == hn, F.element_at(s, to + 1)).when(i == to, F.element_at(s, hn + 1)).otherwise(c))
-    return d.withColumn("cands", F.when(hn.isNotNull() & (to < F.size(s)), swapped).otherwise(s)).drop("_s", "_tp", "_hn", "_to")
+    return pin(d.withColumn("cands", F.when(hn.isNotNull() & (to < F.size(s)), swapped).otherwise(s)).drop("_s", "_tp", "_hn", "_to"), "cands")
 
 
 def corrupt_op(op: Column, value: Column, key: Column, p: float = 0.33, seed: int = 42) -> Column:
@@ -315,9 +320,9 @@ def build_corpus(df: DataFrame, mode: str = "preference", places: DataFrame | No
     if places is not None:
         ids = F.col("cands")
         hints = F.coalesce(F.transform("places", lambda p: F.struct(F.element_at(ids, p["cand_pos"] + 1)["candidate_id"].alias("candidate_id"), dom.location_hint(p["path"]).alias("hint"))), hints)
-    d = d.withColumn("_hints", hints)
+    d = pin(d.withColumn("_hints", hints), "_hints")
     d = augment_shuffle(d, shuffle_n, realweb_mult, seed, original=True)
-    d = build_prompt(d, examples=examples, mode="compact" if compact else "full")
+    d = pin(build_prompt(d, examples=examples, mode="compact" if compact else "full"), "prompt")
 
     def side(cid: Column, op: Column, value: Column) -> Column:
         at = F.array_position(F.transform("cands", lambda c: c["candidate_id"]), cid).cast("int")

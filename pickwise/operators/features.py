@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import parse as ps, text as tx
-from ..session import stack
+from ..session import pin, stack
 from . import profile as pf, rank as rk, tfidf
 from .rows import explode_candidates
 
@@ -153,7 +153,7 @@ def with_task_idf(df: DataFrame, idf: DataFrame, tokens: str = "t") -> DataFrame
     Only (id, token) pairs meet the IDF table; adaptive execution broadcasts the table if it measures
     small and otherwise splits hot tokens.
     """
-    pairs = df.select("id", F.explode(tokens).alias("token")).join(idf.select("token", "idf"), "token", "left")
+    pairs = df.select("id", F.explode_outer(tokens).alias("token")).filter("token is not null").join(idf.select("token", "idf"), "token", "left")
     lists = pairs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("token").alias("k"), F.coalesce("idf", F.lit(1.0)).alias("idf")))).alias("tidf"))
     return df.join(lists, "id", "left").withColumn("tidf", F.coalesce("tidf", F.expr("cast(array() as array<struct<k:string,idf:double>>)")))
 
@@ -171,7 +171,7 @@ def features_v2(df: DataFrame, idf: DataFrame, with_label: bool = True) -> DataF
     lead = ["id", "task", "history", "cands", *(["target_id"] if with_label else [])]
     d = df.filter(F.size("cands") > 0).select(*lead, ps.html_context("cleaned_html").alias("x"))
     d = d.withColumn("t", tx.token_set("task")).withColumn("h", tx.token_set("history")).withColumn("r", tx.remaining(F.col("t"), F.col("h")))
-    d = with_task_idf(d, idf)
+    d = with_task_idf(pin(d, "t", "h", "r"), idf)
     d = d.withColumn("r_sum", idf_sum(F.col("tidf"), F.col("r"))).withColumn("t_sum", idf_sum(F.col("tidf")))
     d = d.select("*", F.lower(tx.text("task")).alias("tl"), F.lower(tx.text("history")).alias("hl"), ps.n_steps("history").alias("n_history_steps"))
     row = ["t", "r", "tidf", "r_sum", "t_sum", "tl", "hl", "n_history_steps", "x"]
@@ -212,4 +212,4 @@ def idf_coverage(df: DataFrame, idf: DataFrame) -> DataFrame:
     r, ti = F.col("r"), F.col("tidf")
     pairs = F.transform("ctoks", lambda c: F.struct(
         tx.ratio(idf_sum(ti, r, c), idf_sum(ti, r)).alias("open_cov"), tx.ratio(idf_sum(ti, c), idf_sum(ti)).alias("task_cov")))
-    return d.select("id", F.posexplode(pairs).alias("cand_pos", "p")).select("id", "cand_pos", "p.*")
+    return d.select("id", F.posexplode_outer(pairs).alias("cand_pos", "p")).select("id", "cand_pos", "p.*")

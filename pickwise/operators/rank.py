@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
 from ..functions.stopwords import SCORING
+from ..session import pin
 
 BY = "id"
 
@@ -43,10 +44,9 @@ def pick_target(df: DataFrame, stop: Sequence[str] = SCORING) -> DataFrame:
     """Coverage heuristic: adds `pick_pos`, `pick` (candidate struct), `pick_id`, `pick_score`, `n_open`."""
     out = with_scores(with_token_sets(df, stop)).withColumn("pick_pos", argmax_pos(F.col("scores")))
     pick = F.try_element_at("cands", F.col("pick_pos") + 1)
-    return (out.withColumn("pick", pick)
-            .withColumn("pick_id", tx.text(F.col("pick")["candidate_id"]))
-            .withColumn("pick_score", F.coalesce(F.array_max("scores"), F.lit(0.0)))
-            .withColumn("n_open", F.size("r")))
+    out = (out.withColumn("pick", pick).withColumn("pick_score", F.coalesce(F.array_max("scores"), F.lit(0.0))).withColumn("n_open", F.size("r"))
+           .drop("t", "h", "r", "ctoks", "scores"))
+    return pin(out, "pick_pos", "pick", "pick_score", "n_open").withColumn("pick_id", tx.text(F.col("pick")["candidate_id"]))
 
 
 def rank_in_row(scores: Column, pos: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import parse as ps, text as tx
+from ..session import pin
 from ..sources.schema import OPS
 from .rows import candidate_of, mapped
 
@@ -81,8 +82,9 @@ def candidate_fields(c: Column) -> Column:
 
 def with_fields(df: DataFrame) -> DataFrame:
     """Adds `cf`: the candidate array with parsed fields, and the task's words `tw` and lower case `tl`."""
-    return (df.withColumn("cf", F.transform("cands", candidate_fields))
-            .withColumn("tl", F.lower(tx.text("task"))).withColumn("tw", tx.word_set("task")))
+    d = (df.withColumn("cf", F.transform("cands", candidate_fields))
+         .withColumn("tl", F.lower(tx.text("task"))).withColumn("tw", tx.word_set("task")))
+    return pin(d, "cf", "tl", "tw")
 
 
 def match_score(f: Column, task_lower: Column, task_words: Column) -> Column:
@@ -224,7 +226,7 @@ def fallback(df: DataFrame, prefix: str = "fb_") -> DataFrame:
     """
     tl, tw = F.col("tl"), F.col("tw")
     op = f"{prefix}op"
-    df = df.withColumn(op, op_from_task(F.col("task")))
+    df = pin(df.withColumn(op, op_from_task(F.col("task"))), op)
     score = lambda f: relevance_score(f, tl, tw, F.col(op))
     df = df.withColumn("_fb", F.coalesce(best_candidate(F.col("cf"), score, op_pool(F.col(op))), best_candidate(F.col("cf"), score)))
     return df.select("*", F.coalesce(F.col("_fb.candidate_id"), F.lit("")).alias(f"{prefix}target_id"),
@@ -255,12 +257,13 @@ def enforce(df: DataFrame, strict: bool = False) -> DataFrame:
 
     # 1. unknown target: the rule answer replaces the whole triple
     bad = F.col("invalid_target_repaired")
-    d = d.withColumn("_fop", F.when(bad, op_from_task(task)))
+    d = pin(d.withColumn("_fop", F.when(bad, op_from_task(task))), "_hit", "invalid_target_repaired", "_fop")
     score = lambda f: relevance_score(f, tl, tw, F.col("_fop"))
     d = d.withColumn("_ch", F.when(bad, F.coalesce(best_candidate(cf, score, op_pool(F.col("_fop"))), best_candidate(cf, score)))
                      .otherwise(F.col("_hit")))
     d = d.withColumn("_val", F.when(bad, F.when(F.col("_ch").isNotNull(), extract_value(task, F.col("_fop"), F.col("_ch"), tw, variant)).otherwise(""))
                      .otherwise(tx.text("value"))).withColumn("_op", F.coalesce("_fop", "_op"))
+    d = pin(d, "_ch", "_val", "_op")
 
     # 2. strict only: TYPE and SELECT must sit on fitting tags
     for op, low in (("TYPE", "type"), ("SELECT", "select")):
@@ -289,6 +292,7 @@ def enforce(df: DataFrame, strict: bool = False) -> DataFrame:
          .withColumn("_ch", F.coalesce("_alt", "_ch")))
 
     # 4. SELECT values snap to an option
+    d = pin(d, "_ch", "_val", "_op")
     sel = F.col("_op") == "SELECT"
     d = d.withColumn("_snap", F.when(sel, snap_option(F.coalesce(F.col("_ch.opts"), F.expr("cast(array() as array<string>)")), tw, F.col("_val"))))
     d = d.withColumn("_raw", F.when(F.col("_snap") == "", ps.first_filled(
@@ -318,4 +322,5 @@ def apply_rules(picked: DataFrame) -> DataFrame:
     d = picked.withColumn("pred_op", op)
     value = (F.when(F.col("pred_op") == "SELECT", longest_option_in_task(F.col("task"), ps.options(F.col("pick.attrs"), "/")))
              .when(F.col("pred_op") == "TYPE", value_after_label(F.col("task"), F.col("pick"))).otherwise(""))
-    return d.withColumn("pred_value", F.when(F.col("pick").isNull(), "").otherwise(value)).withColumn("pred_target_id", F.col("pick_id"))
+    d = d.withColumn("pred_value", F.when(F.col("pick").isNull(), "").otherwise(value)).withColumn("pred_target_id", F.col("pick_id"))
+    return pin(d, "pred_op", "pred_value", "pred_target_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,6 +43,17 @@ def stack(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def pin(df: DataFrame, *cols: str) -> DataFrame:
+    """Compute the named columns here, once per row.
+
+    The optimizer inlines a column into a later expression that names it once, even when that is the
+    body of an array function and runs per element, and pushes filters on it below its definition.
+    A one-row generator is a boundary for both.
+    """
+    rest = [c for c in df.columns if c not in cols]
+    return df.select(*rest, F.inline_outer(F.array(F.struct(*cols)))).select(*df.columns)
+
+
 def local_session(cpus: int | str = "*", memory: str = "16g", partitions: int = 8) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     b = SparkSession.builder.master(f"local[{cpus}]").appName("pickwise")
