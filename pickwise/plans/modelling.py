@@ -146,7 +146,7 @@ def _stream_source(fx):
     """Decision files as they would arrive."""
     path = _out(fx, "arrivals")
     (fx.decisions.select(F.col("id").cast("string").alias("id"), "site_token", "task", "history", "cleaned_html", "candidate_elements")
-     .repartition(4, "id").write.parquet(path))
+     .repartition(2 * fx.spark.sparkContext.defaultParallelism, "id").write.parquet(path))
     return path
 
 
@@ -167,7 +167,7 @@ _STREAMED = (_ANSWER + ", " + _MATCH.strip()[len("with "):] + _OPTS + """, p9 as
 @query("q13_1_score_stream", _STREAMED + "select id::varchar as id, op, target_id, case when op='CLICK' then '' else v2 end as value from g6")
 def _(fx):
     out = _out(fx, "answers")
-    st.score_stream(fx.spark, _stream_source(fx), out, _out(fx, "ckpt")).awaitTermination()
+    st.score_stream(fx.spark, _stream_source(fx), out, _out(fx, "ckpt"), fx.spark.sparkContext.defaultParallelism).awaitTermination()
     batch = st.answer(fx.decisions.select(F.col("id").cast("string").alias("id"), "task", "history", "candidate_elements"))
     streamed = fx.spark.read.schema(batch.schema).parquet(out)
     return streamed.select("id", "op", "target_id", "value")
@@ -177,7 +177,7 @@ def _(fx):
     f" union all select '{f}', count(*) filter (where {f}) from fl" for f in rl.AUDIT) + ") select item, n from ct2 where n > 0")
 def _(fx):
     out, name = _out(fx, "answers"), "counts_" + uuid.uuid4().hex[:8]
-    st.score_stream(fx.spark, _stream_source(fx), out, _out(fx, "ckpt")).awaitTermination()
+    st.score_stream(fx.spark, _stream_source(fx), out, _out(fx, "ckpt"), fx.spark.sparkContext.defaultParallelism).awaitTermination()
     schema = fx.spark.read.parquet(out).schema
     answers = fx.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(out)
     q = st.running_counts(answers).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _out(fx, "ckpt")).trigger(availableNow=True).start()
