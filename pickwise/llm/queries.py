@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pickwise.llm import bpe, langid, packing, rules
+from pickwise.llm import bpe, collide, langid, packing, rules, simhash
 from pickwise.llm.common import fold, table
 
 QUERIES, ORACLES = {}, {}
@@ -46,3 +46,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op5_simhash_bit_sliced")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op8_collision_projections")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collide.near_vectors(table(spark, sf_dir, "embeddings"))
