@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pickwise.llm.common import text_map
 
 BUCKETS, DIM, EPOCHS, STEP = 1 << 15, 16, 6, 0.15
-PER_LANGUAGE = 2000  # bound of the training sample, rows of one language
+PER_LANGUAGE = 1000  # bound of the training sample, rows of one language
 LET_THROUGH = 0.999  # share of held-back texts whose prediction must not be rejected
 CHUNK = 1 << 20
 UNKNOWN = "und"
@@ -125,7 +125,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # the language travels in the id, so the rows need no second join
     keyed = picked.select((F.col("k") * len(languages) + code[F.col("l")]).alias("k"), "t")
     got = text_map(keyed, "idx array<int>, share array<float>", features, "k", "t").toArrow().sort_by("k")
-    samples = [(np.array(i), np.array(s, float), k % len(languages)) for k, i, s in zip(*(got.column(c).to_pylist() for c in ("k", "idx", "share")))]
+    idx, share_of = (got.column(c).combine_chunks() for c in ("idx", "share"))
+    at, idx, share_of = idx.offsets.to_numpy(), idx.values.to_numpy(), share_of.values.to_numpy()
+    samples = [(idx[a:b], share_of[a:b], k % len(languages)) for k, a, b in zip(got.column("k").to_pylist(), at, at[1:])]
     if not samples:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     held = [s for i, s in enumerate(samples) if i % 5 == 0]

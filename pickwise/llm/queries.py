@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pickwise.llm import bpe, collide, langid, packing, rules, simhash, substring
+from pickwise.llm import bpe, collide, langid, packing, ppm, rules, simhash, substring
 from pickwise.llm.common import fold, table
 
 QUERIES, ORACLES = {}, {}
@@ -60,15 +60,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-with docs as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w from documents),
+with docs as (select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> ''] as w from documents),
 wins as (select doc_id, p, sha256(array_to_string(w[p : p + 49], ' ')) as k
          from (select doc_id, w, unnest(range(1, len(w) - 48)) as p from docs where len(w) >= 50)),
 firsts as (select k, min(doc_id) as m from wins group by k),
 hit as (select w.doc_id, list(p) as ps from wins w join firsts f using (k) where f.m < w.doc_id group by w.doc_id),
-gone as (select doc_id, list_distinct(flatten(list_transform(ps, p -> range(p, p + 50)))) as g from hit),
+gone as (select doc_id, list_distinct(flatten([range(p, p + 50) for p in ps])) as g from hit),
 kept as (select d.doc_id, w, coalesce(g, []) as g from docs d left join gone using (doc_id))
 select doc_id, cast(len(w) as bigint) as n_words, cast(len(g) as bigint) as n_removed,
-  sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), i -> not list_contains(g, i)), i -> w[i]), ' ')) as kept_sha256
+  sha256(array_to_string([w[i] for i in range(1, len(w) + 1) if not list_contains(g, i)], ' ')) as kept_sha256
 from kept
 """
 
@@ -76,3 +76,9 @@ from kept
 @query("op1_substring_de_bruijn", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_ppm_score")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    return ppm.score(table(spark, sf_dir, "documents"), ~held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
