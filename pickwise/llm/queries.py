@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pickwise.llm import bpe, collide, langid, packing, ppm, rules, simhash, substring
+from pickwise.llm import bpe, collide, langid, packing, ppm, quotes, rules, secrets, simhash, substring
 from pickwise.llm.common import fold, table
 
 QUERIES, ORACLES = {}, {}
@@ -82,3 +82,30 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
     return ppm.score(table(spark, sf_dir, "documents"), ~held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op3_secret_forest")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees, words = secrets.fit(docs, path_col="source")
+    out = secrets.findings(docs, trees, words, path_col="source")
+    return out.select("doc_id", "at", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), "score", "secret")
+
+
+OP4_SQL = r"""
+with recursive m as (select conv_id, turn, coalesce(text, '') as text, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) as norm from conversations),
+firsts as (select conv_id, norm, min(turn) as f from m group by conv_id, norm),
+before as (select conv_id, turn, lag(norm) over (partition by conv_id order by turn) as prev from m),
+up as (select b.conv_id, b.turn, f.f as reply from before b left join firsts f on f.conv_id = b.conv_id and f.norm = b.prev),
+walk as (select conv_id, turn, reply, turn as root, 0 as depth from up where reply is null
+         union all select u.conv_id, u.turn, u.reply, w.root, w.depth + 1 from up u join walk w on u.conv_id = w.conv_id and u.reply = w.turn)
+select conv_id, turn, case when reply is not null then conv_id end as reply_thread, reply as reply_order, conv_id as root_thread, root as root_order,
+  cast(depth as bigint) as depth, trim(text, chr(10)) as text
+from walk join m using (conv_id, turn)
+"""
+
+
+@query("op4_quotation_links", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations in mail form, each message under quotes of the two before it, linked and freed of quotes again."""
+    return quotes.conversations(quotes.linked(quotes.quoting(table(spark, sf_dir, "conversations"))))
