@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from .text import ColumnLike, INPUT_TYPE_VOCAB, col, text, token_set, vocab_index
+from .text import ColumnLike, INPUT_TYPE_VOCAB, col, strip, text, token_set, vocab_index
 
 # The micro-formats of the input columns.
 STEP_PATTERN = {
@@ -40,7 +40,7 @@ def history_steps(h: ColumnLike, sep: str = "pipe") -> Column:
     """array<struct<tag,text,op,value>>; `sep` says what ends a value."""
     p = STEP_PATTERN[sep]
     zipped = F.arrays_zip(*[all_matches(h, p, g).alias(n) for g, n in enumerate(("tag", "text", "op", "value"), 1)])
-    return F.transform(zipped, lambda s: F.struct(*[F.trim(s[n]).alias(n) for n in ("tag", "text", "op", "value")]))
+    return F.transform(zipped, lambda s: F.struct(*[strip(s[n]).alias(n) for n in ("tag", "text", "op", "value")]))
 
 
 def last_step(steps: Column, field: str) -> Column:
@@ -58,7 +58,7 @@ def n_steps(h: ColumnLike) -> Column:
 def history_signature(h: ColumnLike) -> Column:
     """Op sequence, STEP_n without ops, START without history."""
     ops = F.array_join(all_matches(h, STEP_OP), ",")
-    return (F.when(F.trim(text(h)) == "", F.lit("START")).when(ops != "", ops)
+    return (F.when(strip(text(h)) == "", F.lit("START")).when(ops != "", ops)
             .otherwise(F.concat(F.lit("STEP_"), n_steps(h) + 1)))
 
 
@@ -72,7 +72,7 @@ def compress_history(h: ColumnLike, sep: str = "pipe") -> Column:
                         F.lit("→"), s["op"],
                         F.when((v != "") & (s["op"] != "CLICK"), F.concat(F.lit(":"), v)).otherwise(""))
 
-    return (F.when(F.trim(text(h)).isin("", "None", "nan"), F.lit("None"))
+    return (F.when(strip(text(h)).isin("", "None", "nan"), F.lit("None"))
             .when(F.size(steps) > 0, F.array_join(F.transform(steps, line), " | "))
             .otherwise(F.substring(text(h), 1, 300)))
 
@@ -84,12 +84,12 @@ def attr_pairs(attrs: ColumnLike, normalise: bool = True) -> Column:
 
     `aria_x` keys are read as `aria-x` unless `normalise` is off.
     """
-    a = F.trim(text(attrs))
+    a = strip(text(attrs))
     zipped = F.arrays_zip(all_matches(a, ATTR_PAIR, 1).alias("k"), all_matches(a, ATTR_PAIR, 2).alias("v"))
 
     def clean(p: Column) -> Column:
         k = F.when(p["k"].startswith("aria_"), F.replace(p["k"], F.lit("_"), F.lit("-"))).otherwise(p["k"]) if normalise else p["k"]
-        return F.struct(k.alias("k"), F.trim(p["v"]).alias("v"))
+        return F.struct(k.alias("k"), strip(p["v"]).alias("v"))
 
     return F.transform(zipped, clean)
 
@@ -106,12 +106,12 @@ def attr(attrs: ColumnLike, key: str) -> Column:
 
 def first_attr(attrs: ColumnLike, key: str) -> Column:
     """First value of a key; the value ends at a pipe."""
-    return F.trim(F.regexp_extract(text(attrs), rf"(?i)\b{key}=([^|]+?)(?=\s*\||$)", 1))
+    return strip(F.regexp_extract(text(attrs), rf"(?i)\b{key}=([^|]+?)(?=\s*\||$)", 1))
 
 
 def split_options(opts: ColumnLike, sep: str = " / ") -> Column:
     """Option text to array, blanks dropped."""
-    parts = F.transform(F.split(text(opts), sep.replace("/", "[/]")), lambda o: F.trim(o))
+    parts = F.transform(F.split(text(opts), sep.replace("/", "[/]")), lambda o: strip(o))
     return F.filter(parts, lambda o: o != "")
 
 
@@ -129,16 +129,16 @@ def first_filled(*cols: Column) -> Column:
 def candidate_label(c: Column, chain: Sequence[str] = LABEL_CHAIN, lower: bool = True) -> Column:
     """Visible text or the first filled attribute of the chain; c is a candidate struct."""
     pairs = attr_pairs(c["attrs"])
-    label = first_filled(F.trim(text(c["text"])), *[F.trim(pair(pairs, k)) for k in chain])
+    label = first_filled(strip(text(c["text"])), *[strip(pair(pairs, k)) for k in chain])
     return F.lower(label) if lower else label
 
 
 def candidate_description(c: Column) -> Column:
     """Short sentence of a candidate for a relevance model."""
     pairs = attr_pairs(c["attrs"])
-    label = first_filled(F.trim(text(c["text"])), *[pair(pairs, k) for k in DESCRIPTION_CHAIN])
+    label = first_filled(strip(text(c["text"])), *[pair(pairs, k) for k in DESCRIPTION_CHAIN])
     opts = pair(pairs, "options")
-    return F.concat(F.trim(F.concat(text(c["tag"]), F.lit(" "), label)),
+    return F.concat(strip(F.concat(text(c["tag"]), F.lit(" "), label)),
                     F.when(opts != "", F.concat(F.lit(" choices: "), F.substring(opts, 1, 60))).otherwise(""))
 
 
@@ -154,7 +154,7 @@ def html_type(html: ColumnLike) -> Column:
 
 
 def _split_lower(c: Column) -> Column:
-    items = F.transform(F.split(c, ","), lambda x: F.lower(F.trim(x)))
+    items = F.transform(F.split(c, ","), lambda x: F.lower(strip(x)))
     return F.filter(items, lambda x: x != "")
 
 
@@ -177,7 +177,7 @@ def html_context(html: ColumnLike) -> Column:
 def workflow_status(html: ColumnLike) -> Column:
     """struct<current_step,total_steps,completed_fields> for prompts; first `Completed:` only."""
     h = text(html)
-    items = F.transform(F.split(F.regexp_extract(h, r"(?i)Completed:\s*([^\n<]+)", 1), ","), lambda x: F.trim(x))
+    items = F.transform(F.split(F.regexp_extract(h, r"(?i)Completed:\s*([^\n<]+)", 1), ","), lambda x: strip(x))
     return F.struct(
         F.regexp_extract(h, CURRENT_STEP_OF, 1).alias("current_step"),
         F.regexp_extract(h, CURRENT_STEP_OF, 2).alias("total_steps"),

@@ -11,6 +11,9 @@ from .stopwords import SCORING
 WORD = r"[\p{L}\p{N}_]+"
 ALPHA = r"[A-Za-z][A-Za-z0-9_-]+"
 
+# White space as Unicode text stripping knows it.
+WHITE = " \t\n\r\f\u000b\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 ColumnLike = Column | str
 
 
@@ -23,6 +26,15 @@ def text(c: ColumnLike) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+def strip(c: ColumnLike) -> Column:
+    """Text without white space at both ends, tabs, line ends and non-breaking blanks among it."""
+    return F.btrim(col(c), F.lit(WHITE))
+
+
+def rstrip(c: ColumnLike) -> Column:
+    return F.rtrim(col(c), F.lit(WHITE))
+
+
 def word_list(c: ColumnLike) -> Column:
     """All words, lower case, repeats kept."""
     return F.regexp_extract_all(F.lower(text(c)), F.lit(WORD), F.lit(0))
@@ -137,7 +149,7 @@ def text_stats(task: ColumnLike = "task", history: ColumnLike = "history") -> di
 def truncate(c: ColumnLike, n: int) -> Column:
     """First n characters, right-trimmed and marked with dots, when the text is longer."""
     s = col(c)
-    return F.when(F.length(s) <= n, s).otherwise(F.concat(F.rtrim(F.substring(s, 1, n)), F.lit("...")))
+    return F.when(F.length(s) <= n, s).otherwise(F.concat(rstrip(F.substring(s, 1, n)), F.lit("...")))
 
 
 # Category vocabularies; everything else falls into the last bucket.

@@ -17,12 +17,13 @@ from ..session import stack
 
 # Shape of one tag with the text behind it, tags without content, context containers.
 TAG = r"<(/?)([\p{L}\p{N}_]+)([^>]*)>([^<]*)"
+COMMENT = r"(?s)<!--.*?(?:-->|$)"
+RAW_BODY = r"(?is)(<(script|style)\b[^>]*>).*?(</\2\s*>|$)"
 VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 CONTAINERS = ("form", "fieldset", "section", "nav", "header", "main", "footer")
 ROOTS = ("html", "body")
 KEPT_ATTRS = ("id", "name", "type", "value", "placeholder", "aria-label", "text", "role")
 MATCH_KEYS = ("id", "name", "placeholder", "aria-label")
-BLANK = " \t\n\r\f\u000b"
 
 
 def html_attr(attrs: Column, key: str) -> Column:
@@ -35,13 +36,17 @@ def tag_stream(pages: DataFrame, key: str = "page_id", html: str = "html", void_
     """One row per tag in text order: pos, closes, tag, attrs, text, step (+1 opens, -1 closes, 0 leaf), depth.
 
     depth is the depth of an open tag itself, or of the level a close tag returns to. With
-    `void_leaf` tags that never have content (input, br, …) do not open a level.
+    `void_leaf` (the tree form) tags that never have content (input, br, …) do not open a level, and
+    comments and the bodies of scripts and styles are left out.
     """
-    raw = (pages.select(key, html).repartition(key)
-           .select(key, F.posexplode(F.regexp_extract_all(tx.text(html), F.lit(TAG), F.lit(0))).alias("pos", "_m")))
+    source = tx.text(html)
+    if void_leaf:  # what a script, style or comment holds is no element; done in the row, before the tags are taken
+        source = F.regexp_replace(F.regexp_replace(source, COMMENT, ""), RAW_BODY, "$1$3")
+    tags = pages.select(key, F.regexp_extract_all(source, F.lit(TAG), F.lit(0)).alias("_tags"))
+    raw = tags.repartition(key).select(key, F.posexplode("_tags").alias("pos", "_m"))
     m = F.col("_m")
     d = raw.select(key, "pos", m.startswith("</").alias("closes"), F.regexp_extract(m, TAG, 2).alias("tag"), F.regexp_extract(m, TAG, 3).alias("attrs"),
-                   F.btrim(F.regexp_extract(m, TAG, 4), F.lit(BLANK)).alias("text"))
+                   tx.strip(F.regexp_extract(m, TAG, 4)).alias("text"))
     leaf = F.col("tag") == "text"
     if void_leaf:
         leaf = leaf | F.lower("tag").isin(*VOID_TAGS)
@@ -167,7 +172,7 @@ def match_elements(cand: DataFrame, stream: DataFrame, key: str = "id") -> DataF
     e = n.select(key, "pos", "tag", F.explode(keyed(lambda k: html_attr(F.col("attrs"), k))).alias("m"))
     by_attr = (c.select(key, "cand_pos", "tag", "m.prio", "m.v").join(e.select(key, "pos", "tag", "m.prio", "m.v"), [key, "tag", "prio", "v"])
                .select(key, "cand_pos", "prio", "pos"))
-    words = cand.select(key, "cand_pos", "tag", F.substring(F.btrim("text", F.lit(BLANK)), 1, 60).alias("v")).filter("v <> ''")
+    words = cand.select(key, "cand_pos", "tag", F.substring(tx.strip("text"), 1, 60).alias("v")).filter("v <> ''")
     same_tag = n.join(words.select(key, "tag").distinct(), [key, "tag"], "left_semi")
     texts = element_texts(stream, same_tag, key).join(same_tag.select(key, "pos", "tag"), [key, "pos"])
     by_text = words.join(texts.select(key, "pos", "tag", F.col("inner_text").alias("v")), [key, "tag", "v"]).select(key, "cand_pos", F.lit(9).alias("prio"), "pos")
@@ -268,7 +273,7 @@ def tree_line(compact: bool) -> Column:
         back = F.filter(F.transform(F.array(*[F.lit(k) for k in ("aria-label", "placeholder", "title", "role", "name")]),
                                     lambda k: F.struct(k.alias("k"), F.try_element_at(F.filter(p, lambda x: (x["k"] == k) & (x["v"] != "")), F.lit(-1))["v"].alias("v"))), lambda s: s["v"].isNotNull())
         alt = F.try_element_at(back, F.lit(1))
-        t = F.btrim(tx.text("text"), F.lit(BLANK))
+        t = tx.strip(tx.text("text"))
         shown = F.when(t != "", t).when(alt.isNotNull(), F.concat(F.lit("["), alt["k"], F.lit(":"), F.substring(alt["v"], 1, 30), F.lit("]"))).otherwise("")
         keys = TREE_ATTRS_COMPACT if compact else TREE_ATTRS
         parts = F.filter(F.array(*[F.when(ps.pair(p, k) != "", F.concat(F.lit(f"{k}="), F.substring(ps.pair(p, k), 1, 50))) for k in keys]), lambda x: x.isNotNull())

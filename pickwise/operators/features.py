@@ -185,7 +185,7 @@ def features_v2(df: DataFrame, idf: DataFrame, with_label: bool = True) -> DataF
     irc, itc = F.col("inter_RC"), F.col("inter_TC")
     nr, nt, nc = F.size(r), F.size(t), F.size(cc)
     inside = lambda text_, arr: (text_ != "") & F.array_contains(arr, text_)
-    low = lambda n: F.lower(F.trim(F.col(n)))
+    low = lambda n: F.lower(tx.strip(n))
     cols = {
         "inter_RC": irc, "inter_TC": itc, "sz_R": nr, "sz_T": nt, "sz_C": nc,
         "cov_R_C": tx.ratio(irc, nr), "cov_T_C": tx.ratio(itc, nt), "cov_C_R": tx.ratio(irc, nc),

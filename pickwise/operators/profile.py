@@ -130,17 +130,18 @@ def exclusive_tokens(counts: DataFrame, side: str = "a", n: int = 10) -> DataFra
 # ---------------------------------------------------------------- bins
 
 # Buckets of the number of open tokens.
-OPEN_BINS = ((0, 0), (1, 3), (4, 6), (7, 9), (10, 14), (15, 99))
+OPEN_BINS = ((0, 0), (1, 3), (4, 6), (7, 9), (10, 14), (15, None))
 
 
 def binned_accuracy(df: DataFrame, size: str, hit: str, bins=OPEN_BINS) -> DataFrame:
-    """Accuracy per size bucket; empty buckets stay in the report.
+    """Accuracy per size bucket (the last one is open); empty buckets stay in the report.
 
     One row of conditional aggregates, turned into one row per bucket.
     """
-    inside = lambda b: F.col(size).between(*b)
+    inside = lambda b: F.col(size) >= b[0] if b[1] is None else F.col(size).between(*b)
+    name = lambda b: f"{b[0]}+" if b[1] is None else f"{b[0]}-{b[1]}"
     row = df.agg(*[F.struct(F.count_if(inside(b)).alias("n"), F.coalesce(F.avg(F.when(inside(b), F.col(hit).cast("double"))), F.lit(0.0)).alias("accuracy"))
-                   .alias(f"{b[0]}-{b[1]}") for b in bins])
+                   .alias(name(b)) for b in bins])
     return row.unpivot([], row.columns, "bin", "v").select("bin", "v.n", "v.accuracy")
 
 

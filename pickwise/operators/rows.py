@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.parse import html_type
-from ..functions.text import md5_key, text
+from ..functions.text import md5_key, strip, text
 from ..sources.schema import OPS
 
 KEEP = ("id", "site_token", "task", "history", "op", "target_id", "value")
@@ -47,18 +47,18 @@ def filter_ops(df: DataFrame, ops: Iterable[str] = ("TYPE", "SELECT")) -> DataFr
 
 
 def value_in_task() -> Column:
-    v = F.trim(F.lower(text("value")))
+    v = strip(F.lower(text("value")))
     return F.when(text("value") == "", False).otherwise(F.lower(text("task")).contains(v))
 
 
 def empty_candidate(c: Column) -> Column:
-    return (F.trim(text(c["text"])) == "") & (F.trim(text(c["attrs"])) == "")
+    return (strip(text(c["text"])) == "") & (strip(text(c["attrs"])) == "")
 
 
 def clean_submission(df: DataFrame) -> DataFrame:
     """Valid op, one-line trimmed value, no value for CLICK, no nulls."""
     op = F.when(F.col("op").isin(*OPS), F.col("op")).otherwise("CLICK")
-    value = F.trim(F.regexp_replace(text("value"), r"[\n\r]", " "))
+    value = strip(F.regexp_replace(text("value"), r"[\n\r]", " "))
     return df.select("id", op.alias("op"), text("target_id").alias("target_id"),
                      F.when(op == "CLICK", "").otherwise(value).alias("value"))
 

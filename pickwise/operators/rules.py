@@ -32,7 +32,6 @@ LABEL_ATTRS = r"(?i)(label|name|placeholder)=([^|]+?)(?=\s*\||$)"
 AFTER_LABEL = r"\b\s*[:]?\s*([^,\.\n]+)"
 AFTER_FIELD = r"\s*(?:is|as|to|:|-)??\s*([^,.;\n]+)"
 VALUE_TAIL = r"(?i)\s+(and|with|for|to|then)\b.*$"
-BLANK = " \t\n\r\f\u000b"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -40,7 +39,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def strip(c: Column, chars: str = BLANK) -> Column:
+def strip(c: Column, chars: str = tx.WHITE) -> Column:
     return F.btrim(c, F.lit(chars))
 
 
@@ -134,7 +133,7 @@ def op_pool(op: Column) -> Column:
 def label_candidates(c: Column) -> Column:
     """Names by which a task may call a candidate: longest first, no repeats in any case."""
     vals = F.transform(ps.all_matches(c["attrs"], LABEL_ATTRS, 2), lambda v: strip(v))
-    spread = F.flatten(F.transform(vals, lambda v: F.array(v, F.trim(F.replace(v, F.lit("_"), F.lit(" "))))))
+    spread = F.flatten(F.transform(vals, lambda v: F.array(v, strip(F.replace(v, F.lit("_"), F.lit(" "))))))
     names = F.filter(F.concat(F.array(strip(tx.text(c["text"]))), spread), lambda v: v != "")
     uniq = let(names, lambda a: F.filter(a, lambda v, i: ~F.exists(F.slice(a, F.lit(1), i), lambda x: F.lower(x) == F.lower(v))))
     keyed = F.transform(uniq, lambda v, i: F.struct((-F.length(v)).alias("n"), i.alias("i"), v.alias("v")))

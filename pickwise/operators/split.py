@@ -9,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import md5_key
-from ..session import stack  # noqa: F401
 
-# Hex digits of a hash bucket (65,536 buckets) and the largest group table held on the driver.
+# Fixed value: hex digits of a hash bucket (65,536 buckets).
 BUCKET_DIGITS = 4
-MAX_DRIVER_GROUPS = 10_000
 
 
 def _keyed(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -61,38 +59,29 @@ def group_split(df: DataFrame, group: str = "site_token", frac: float = 0.2, see
 
 
 def snake_folds(df: DataFrame, group: str = "site_token", k: int = 5) -> DataFrame:
-    """(group, size, fold): groups by falling size dealt forth and back over k folds.
+    """(group, size, fold): groups by falling size dealt forth and back over k folds; the same rule at every number of groups.
 
-    The rank is exact without one task seeing all groups: offsets per (size, hash prefix), then a
-    rank inside that bucket. Equal sizes follow the hash of the group.
+    The rank has three levels, so no task sees all groups: offsets of size ranges (a bounded number of them, by
+    the logarithm of the size), offsets per (size, hash prefix) inside a range, and a rank inside that. Equal
+    sizes follow the hash of the group.
     """
     g = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).withColumn("h", md5_key(group)).withColumn("b", F.substring("h", 1, 2))
-    cells = g.groupBy("size", "b").agg(F.count(F.lit(1)).alias("c"))
-    order = Window.orderBy(F.col("size").desc(), "b")
-    offs = cells.withColumn("off", F.sum("c").over(order) - F.col("c")).drop("c")
+    # sizes of one range are neighbours; 63 doublings of 16 steps at most
+    cells = g.groupBy("size", "b").agg(F.count(F.lit(1)).alias("c")).withColumn("range", F.floor(F.log2("size") * 16))
+    wide = cells.groupBy("range").agg(F.sum("c").alias("c"))
+    wide = wide.select("range", (F.sum("c").over(Window.orderBy(F.col("range").desc())) - F.col("c")).alias("before"))
+    near = Window.partitionBy("range").orderBy(F.col("size").desc(), "b")
+    offs = cells.withColumn("off", F.sum("c").over(near) - F.col("c")).join(wide, "range").select("size", "b", (F.col("before") + F.col("off")).alias("off"))
     r = g.join(offs, ["size", "b"]).withColumn("i", F.col("off") + F.row_number().over(Window.partitionBy("size", "b").orderBy("h", group)) - 1)
     lap, at = F.floor(F.col("i") / k), F.col("i") % k
     return r.select(group, "size", F.when(lap % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
 
 
-def balanced_folds(df: DataFrame, group: str = "site_token", k: int = 5, limit: int = MAX_DRIVER_GROUPS) -> DataFrame:
-    """(group, size, fold): largest group first, always to the lightest fold.
-
-    The rule is sequential over groups. It runs on the group table, and only when that has at most
-    `limit` rows; beyond, `snake_folds` takes over.
-    """
-    g = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    table = g.limit(limit + 1).collect()
-    if len(table) > limit:
-        return snake_folds(df, group, k)
-    load, rows = [0] * k, []
-    for r in sorted(table, key=lambda r: (-r["size"], str(r[group]))):
-        f = min(range(k), key=lambda i: (load[i], i))
-        load[f] += r["size"]
-        rows.append((r[group], r["size"], f))
-    return F.broadcast(df.sparkSession.createDataFrame(rows, g.select(group, "size", F.lit(0).alias("fold")).schema))
+def fold_loads(df: DataFrame, group: str = "site_token", k: int = 5) -> DataFrame:
+    """(fold, n_groups, n_rows) of the fold rule."""
+    return snake_folds(df, group, k).groupBy("fold").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("size").alias("n_rows"))
 
 
 def with_fold(df: DataFrame, k: int = 5, group: str = "site_token") -> DataFrame:
     """Adds `fold` by balanced groups."""
-    return df.join(balanced_folds(df, group, k).select(group, "fold"), group)
+    return df.join(snake_folds(df, group, k).select(group, "fold"), group)

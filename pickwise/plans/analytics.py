@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as ps, text as tx
 from ..functions.stopwords import ENGLISH, PROFILE
-from ..operators import features as ft, profile as pf, rows as rw, tfidf as ti, votes as vt
+from ..operators import features as ft, profile as pf, rows as rw, split as sp, tfidf as ti, votes as vt
 from ..operators.rank import with_tag_count
 from .basic import r6
-from .registry import _stop_list, query, sql_common, sql_jaccard, sql_toks, sql_tokset, sql_wordset
+from .registry import TRAIN_SITES, _stop_list, query, sql_common, sql_jaccard, sql_toks, sql_tokset, sql_wordset
 from .scoring import BASE
 
 # ---------------------------------------------------------------- idf and TF-IDF
@@ -396,16 +396,16 @@ def _(fx):
 
 # ---------------------------------------------------------------- key sets
 
-@query("q15_1_key_except", "select distinct site_token from decisions where id % 300 = 2 and site_token not in (select site_token from decisions where id % 400 = 1)")
+@query("q15_1_key_except", f"select distinct site_token from decisions where site_token not in {TRAIN_SITES}")
 def _(fx):
     d = fx.decisions.select("id", "site_token")
-    return pf.key_except(d.filter("id % 300 = 2"), d.filter("id % 400 = 1"), "site_token")
+    return pf.key_except(d, sp.group_split(d).filter("not is_valid"), "site_token")
 
 
-@query("q15_1_key_intersect", "select distinct site_token from decisions where id % 300 = 2 and site_token in (select site_token from decisions where id % 400 = 1)")
+@query("q15_1_key_intersect", f"select distinct site_token from decisions where site_token in {TRAIN_SITES}")
 def _(fx):
     d = fx.decisions.select("id", "site_token")
-    return pf.key_intersect(d.filter("id % 300 = 2"), d.filter("id % 400 = 1"), "site_token")
+    return pf.key_intersect(d, sp.group_split(d).filter("not is_valid"), "site_token")
 
 
 @query("q15_2_union_all", "select id, 'task' as side, task as text from decisions union all select id, 'history', history from decisions")

@@ -4,9 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import parse as ps, text as tx
-from ..operators import rank as rk, rows as rw
+from ..operators import rank as rk, rows as rw, split as sp
 from ..sources import io
-from .registry import query, sql_common, sql_jaccard, sql_toks, sql_tokset, sql_words, sql_wordset
+from .registry import TRAIN_SITES, query, sql_common, sql_jaccard, sql_toks, sql_tokset, sql_words, sql_wordset
 
 
 def r6(c):
@@ -65,10 +65,10 @@ def _(fx):
     return rw.with_html_type(fx.decisions.select("id", "cleaned_html")).drop("cleaned_html")
 
 
-@query("q2_4_site_seen", """select id, site_token, site_token in (select site_token from decisions where id % 400 = 1) as site_seen from decisions""")
+@query("q2_4_site_seen", f"select id, site_token, site_token in {TRAIN_SITES} as site_seen from decisions")
 def _(fx):
     d = fx.decisions.select("id", "site_token")
-    return rw.with_site_seen(d, d.filter("id % 400 = 1"))
+    return rw.with_site_seen(d, sp.group_split(d).filter("not is_valid"))
 
 
 @query("q2_5_filter_ops", "select id, op from decisions where op in ('TYPE','SELECT')")
@@ -160,13 +160,13 @@ def _(fx):
     return rw.with_target_present(d).select("id", "target_present")
 
 
-@query("q3_9_cosine_topk", """with v as (select vec_id, label, embedding::double[] as e from embeddings), q as (select label, e from v where vec_id < 10 qualify row_number() over (partition by label order by vec_id) = 1),
+@query("q3_9_cosine_topk", """with v as (select vec_id, label, embedding::double[] as e from embeddings), q as (select label, e from v qualify row_number() over (partition by label order by vec_id) = 1),
 s as (select v.label as id, v.vec_id as item_id, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e,q.e) * list_dot_product(v.e,v.e)), 9) as c from v join q on q.label = v.label)
 select cast(id as int) as id, item_id, round(c, 6) as cosine, cast(rn as int) as rank from (select *, row_number() over (partition by id order by c desc, item_id) as rn from s) where rn <= 5""", needs=None)
 def _(fx):
     e = fx.table("embeddings").select(F.col("label").alias("id"), F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
     first = F.row_number().over(Window.partitionBy("id").orderBy("item_id"))
-    q = e.filter("item_id < 10").withColumn("n", first).filter("n = 1").select("id", F.col("v").alias("q"))
+    q = e.withColumn("n", first).filter("n = 1").select("id", F.col("v").alias("q"))
     return rk.cosine_topk(q, e, 5).withColumn("cosine", r6("cosine"))
 
 

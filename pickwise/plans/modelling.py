@@ -22,9 +22,10 @@ def _(fx):
     return sp.snake_folds(fx.decisions.select("site_token"))
 
 
-@query("q14_4_balanced_folds", "select site_token, count(*) as size from decisions group by site_token")
+@query("q14_4_balanced_folds", """with g as (select site_token, count(*) as size, md5(site_token) as h from decisions group by site_token), r as (select *, row_number() over (order by size desc, h, site_token) - 1 as i from g)
+select (case when (i // 5) % 2 = 0 then i % 5 else 4 - i % 5 end)::int as fold, count(*) as n_groups, sum(size)::bigint as n_rows from r group by 1""")
 def _(fx):
-    return sp.balanced_folds(fx.decisions.select("site_token")).select("site_token", "size")
+    return sp.fold_loads(fx.decisions.select("site_token"))
 
 
 @query("q14_5_group_split", """with g as (select distinct site_token from decisions), r as (select *, row_number() over (order by md5(concat('42|', site_token)), site_token) as k, count(*) over () as n from g)

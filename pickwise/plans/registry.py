@@ -63,4 +63,6 @@ def sql_jaccard(a: str, b: str) -> str:
             f"(len({a}) + len({b}) - {sql_common(a, b)}) end)")
 
 
+# sites of the training side of the group split
+TRAIN_SITES = ("(select site_token from (select site_token, row_number() over (order by md5(concat('42|', site_token)), site_token) as k, count(*) over () as n from (select distinct site_token from decisions) q) z where k > ceil(n*0.2))")
 PROFILE_TOKS = lambda e: sql_toks(e, PROFILE)

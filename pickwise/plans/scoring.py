@@ -4,9 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parse as ps, text as tx
-from ..operators import evaluate as ev, profile as pf, rank as rk, rows as rw, rules as rl
+from ..operators import evaluate as ev, profile as pf, rank as rk, rows as rw, rules as rl, split as sp
 from .basic import r6
-from .registry import query, sql_common, sql_jaccard, sql_tokset, sql_words, sql_wordset
+from .registry import TRAIN_SITES, query, sql_common, sql_jaccard, sql_tokset, sql_words, sql_wordset
 
 BASE = ("id", "site_token", "task", "history", "cands", "op", "target_id", "value")
 
@@ -351,7 +351,7 @@ po as (select id, o, row_number() over (partition by id order by length(o) desc,
 an as (select pk.id, pk.candidate_id as pred_target_id, len(pk.r) as n_open, case when tag in ('input','textarea') then 'TYPE' when tag='select' then 'SELECT' else 'CLICK' end as pred_op,
  case when tag='select' then coalesce(po.o,'') when tag in ('input','textarea') then coalesce(pt.v,'') else '' end as pred_value from pk left join pt on pt.id=pk.id left join po on po.id=pk.id and po.rn=1),
 hits as (select d.id, d.op, d.site_token, case when contains(cleaned_html,'workflow-context') or contains(cleaned_html,'completed-fields') then 'workflow' else 'real_web' end as html_type,
- d.site_token in (select site_token from decisions where id % 400 = 1) as site_seen, an.n_open, pred_op, pred_value, (pred_op=d.op)::int as o, (pred_target_id=d.target_id)::int as t, (pred_value=d.value)::int as v, (pred_op=d.op and pred_target_id=d.target_id and pred_value=d.value)::int as a
+ d.site_token in """ + TRAIN_SITES + r""" as site_seen, an.n_open, pred_op, pred_value, (pred_op=d.op)::int as o, (pred_target_id=d.target_id)::int as t, (pred_value=d.value)::int as v, (pred_op=d.op and pred_target_id=d.target_id and pred_value=d.value)::int as a
  from decisions d join an on an.id=d.id)
 """
 _M = "count(*) as n, round(avg(o),6) as op_acc, round(avg(t),6) as target_id_acc, round(avg(v),6) as value_acc, round(avg(a),6) as exact_match"
@@ -375,7 +375,7 @@ def _(fx):
     from ..functions.parse import html_type
     a = _answers(fx, html_type("cleaned_html").alias("html_type"))
     a = a.select("id", "site_token", "html_type", "op", "target_id", "value", "pred_op", "pred_target_id", "pred_value")
-    seen = rw.with_site_seen(a, fx.decisions.filter("id % 400 = 1"))
+    seen = rw.with_site_seen(a, sp.group_split(fx.decisions.select("site_token")).filter("not is_valid"))
     return _m(ev.evaluate_slices(ev.with_hits(seen)))
 
 
@@ -389,7 +389,7 @@ def _(fx):
     # predictions come from another table here, as when a submission is scored
     a = _answers(fx).select("id", F.col("pred_op").alias("op"), F.col("pred_target_id").alias("target_id"), F.col("pred_value").alias("value"))
     truth = rw.with_html_type(fx.decisions.select("id", "site_token", "cleaned_html", "op", "target_id", "value")).drop("cleaned_html")
-    seen = rw.with_site_seen(truth, fx.decisions.filter("id % 400 = 1"))
+    seen = rw.with_site_seen(truth, sp.group_split(fx.decisions.select("site_token")).filter("not is_valid"))
     return _m(ev.evaluate_slices(ev.with_hits(ev.join_predictions(a, seen))))
 
 
@@ -413,11 +413,12 @@ def _(fx):
     return _m(ev.fold_summary(hits))
 
 
-@query("q12_6_site_overlap", """with a as (select distinct site_token as s from decisions where id % 400 = 1), b as (select distinct site_token as s from decisions where id % 300 = 2)
+@query("q12_6_site_overlap", """with p as (select site_token as s, row_number() over (order by md5(concat('0|', id)), id::varchar) <= floor(count(*) over () * 0.2) as v from decisions), a as (select distinct s from p where not v), b as (select distinct s from p where v)
 select (select count(*) from a where s not in (select s from b)) as only_train, (select count(*) from b where s not in (select s from a)) as only_test, (select count(*) from a where s in (select s from b)) as both""")
 def _(fx):
     d = fx.decisions.select("id", "site_token")
-    return pf.site_overlap(d.filter("id % 400 = 1"), d.filter("id % 300 = 2"))
+    d = sp.row_split(d)
+    return pf.site_overlap(d.filter("not is_valid"), d.filter("is_valid"))
 
 
 @query("q12_7_op_by_steps", r"""with s as (select op, len(regexp_extract_all(history,'Step \d+:')) as k from decisions), b as (select case when k=0 then '0' when k<=3 then '1-3' else '4+' end as bucket, op from s)
@@ -453,7 +454,7 @@ def _(fx):
     return ev.default_rate(fx.votes.filter("fold = 2"), fx.decisions.select("id", "cands")).withColumn("rate", r6("rate"))
 
 
-@query("q8_12_binned_accuracy", _ANSWER + """, b as (select unnest(['0-0','1-3','4-6','7-9','10-14','15-99']) as bin, unnest([0,1,4,7,10,15]) as lo, unnest([0,3,6,9,14,99]) as hi)
+@query("q8_12_binned_accuracy", _ANSWER + """, b as (select unnest(['0-0','1-3','4-6','7-9','10-14','15+']) as bin, unnest([0,1,4,7,10,15]) as lo, unnest([0,3,6,9,14,9223372036854775807]) as hi)
 select bin, count(t) as n, coalesce(round(avg(t),6),0) as accuracy from b left join hits on n_open between lo and hi group by bin""")
 def _(fx):
     h = _hits(fx).select("n_open", "ok_target_id")

@@ -74,12 +74,15 @@ def local_session(cpus: int | str = "*", memory: str = "16g", partitions: int =
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for written intermediates and checkpoints, shared by all executors.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) is a temporary folder made, and it is then set for the whole session.
+    The cluster names it in ``spark.checkpoint.dir``. A temporary folder is made only on a local master, where
+    one machine is the whole cluster; elsewhere an unset folder is an error, as executors would write to their own disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="pickwise-")
     if not spark.sparkContext.getCheckpointDir():

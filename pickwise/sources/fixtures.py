@@ -45,7 +45,7 @@ select o_orderkey as id, n_name as site_token,
   t.op as op, t.candidate_id as target_id, t.val as value, t.cand_pos as target_pos, t.n_cands as n_cands
 from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
 join t on t.id = o_orderkey left join h on h.id = o_orderkey
-left join pages pg on pg.page_id = o_orderkey % 50
+left join pages pg on pg.page_id = o_orderkey % (select count(*) from pages)
 """
 
 STEP_TEXT = ("concat('Step ', cand_pos + 1, ': [', tag, '] ', text, ' -> ', op, "
@@ -103,7 +103,7 @@ class Fixture:
                               lineitem=tables["lineitem"], part=tables["part"])
         sql = (_decisions_sql("spark").replace("from candidates cd", "from {candidates} cd")
                .replace("from orders join customer on", "from {orders} orders join {customer} customer on")
-               .replace("join nation on", "join {nation} nation on").replace("join pages pg", "join {pages} pg"))
+               .replace("join nation on", "join {nation} nation on").replace("join pages pg", "join {pages} pg").replace("from pages)", "from {pages})"))
         rows = self.spark.sql(sql, candidates=cand, orders=tables["orders"], customer=tables["customer"],
                               nation=tables["nation"], pages=tables["pages"])
         lists = (cand.groupBy("id")

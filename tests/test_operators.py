@@ -1,4 +1,5 @@
 """Unit and property tests on small literal frames."""
+import hashlib
 import random
 import re
 
@@ -120,6 +121,15 @@ def sequential(rows, q, k, tiers):
     return out
 
 
+def test_retrieve_many_equal_tasks(spark):
+    """One site holds nine of ten rows, most of them with the same task."""
+    rng = random.Random(4)
+    rows = [{"id": i, "site_token": "hot" if i % 10 else f"s{i % 3}", "sig": "CLICK", "html_type": "workflow", "task": "set the same thing" if i % 4 else f"set w{i % 7} w{rng.randrange(9)}"} for i in range(120)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "id long, site_token string, sig string, html_type string, task string")
+    got = sorted((r["id"], r["rank"], r["example_id"], r["tier"]) for r in rt.retrieve(df, df, 3).collect())
+    assert got == sorted(x for q in rows for x in sequential(rows, q, 3, rt.TIERS))
+
+
 @pytest.mark.parametrize("tiers", [rt.TIERS, rt.TIERS_EARLY])
 def test_retrieve_equals_sequential(spark, tiers):
     rng = random.Random(11)
@@ -137,6 +147,18 @@ def test_salted_groups_keep_results(spark, monkeypatch):
     test_retrieve_equals_sequential(spark, rt.TIERS)
 
 
+# ---------------------------------------------------------------- white space
+
+def test_strip_takes_all_white_space(spark):
+    wild = "\t\u00a0\u3000\n"
+    assert one(spark, tx.strip(F.lit(f"{wild}Save me{wild}"))) == "Save me"
+    cand = F.struct(F.lit("input").alias("tag"), F.lit(f"{wild}Save{wild}").alias("text"), F.lit(f"label={wild}x").alias("attrs"))
+    assert one(spark, ps.candidate_label(cand)) in ("save", "Save")
+    got = one(spark, ps.attr_pairs(F.lit(f"name=\u00a0a\t | label=b{wild}")))
+    assert [(p["k"], p["v"]) for p in got] == [("name", "a"), ("label", "b")]
+    assert one(spark, F.transform(ps.history_steps(F.lit("Step 1: [a] \u00a0t\t -> TYPE: v1\t")), lambda s: F.concat_ws("|", s["text"], s["value"]))) == ["t|v1"]
+
+
 # ---------------------------------------------------------------- page trees against a stack
 
 def random_page(rng):
@@ -148,13 +170,15 @@ def random_page(rng):
             open_.append(t)
             out.append(f'<{t} id="n{len(out)}">t{len(out)}')
         elif r < 0.7:
-            out.append("<br>")
+            out.append(rng.choice(["<br>", "<!-- <ul><li> -->", "<script>if(a<b){'</p>'}</script>", "<style>p<a{}</style>"]))
         else:
             out.append(f"</{open_.pop() if open_ else 'div'}>")
     return "".join(out)
 
 
 def stack_paths(html):
+    html = re.sub(r"<!--.*?-->", "", html)
+    html = re.sub(r"(<(script|style)>).*?(</(script|style)>)", r"\1\3", html)
     path, paths, pos = [], {}, -1
     for m in re.finditer(r"<(/?)(\w+)([^>]*)>", html):
         pos += 1
@@ -185,19 +209,16 @@ def test_paths_and_distance_equal_stack(spark):
 
 # ---------------------------------------------------------------- folds, votes, TF-IDF, corpus
 
-def test_balanced_folds_equal_greedy(spark):
+def test_folds_have_one_rule(spark):
     rng = random.Random(2)
     sizes = {f"g{i}": rng.randint(1, 30) for i in range(17)}
     df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "site_token string")
-    load, want = [0] * 4, {}
-    for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
-        f = load.index(min(load))
-        load[f] += sizes[g]
-        want[g] = f
-    assert {r["site_token"]: r["fold"] for r in sp.balanced_folds(df, k=4).collect()} == want
-    # beyond the driver limit the distributed rule takes over
-    snake = {r["site_token"]: r["fold"] for r in sp.balanced_folds(df, k=4, limit=3).collect()}
-    assert set(snake) == set(sizes) and set(snake.values()) == {0, 1, 2, 3}
+    order = sorted(sizes, key=lambda g: (-sizes[g], hashlib.md5(g.encode()).hexdigest(), g))
+    want = {g: i % 4 if (i // 4) % 2 == 0 else 3 - i % 4 for i, g in enumerate(order)}
+    assert {r["site_token"]: r["fold"] for r in sp.snake_folds(df, k=4).collect()} == want
+    assert {r["site_token"]: r["fold"] for r in sp.with_fold(df, 4).collect()} == want
+    loads = {r["fold"]: (r["n_groups"], r["n_rows"]) for r in sp.fold_loads(df, k=4).collect()}
+    assert loads == {f: (sum(x == f for x in want.values()), sum(sizes[g] for g, x in want.items() if x == f)) for f in range(4)}
 
 
 def test_row_split_is_exact(spark):
