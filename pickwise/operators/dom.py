@@ -189,8 +189,17 @@ def element_context(matched: DataFrame, stream: DataFrame, key: str = "id") -> D
     el = n.join(parents, [key, "pos"]).select(key, "pos", "tag", "attrs", F.col("parent.pos").alias("ppos"))
     texts = element_texts(stream, all_paths, key)
     el = el.join(texts, [key, "pos"], "left").withColumn("inner_text", tx.text("inner_text"))
-    me = matched.join(el.select(key, "pos", "tag", "attrs", "ppos"), [key, "pos"]).select(
-        key, "cand_pos", "pos", "tag", "ppos", html_attr(a, "id").alias("own_id"), html_attr(a, "aria-labelledby").alias("lby"))
+    # the previous sibling comes from the row before; of a parent's children only the first three and the first six with text are kept
+    line = Window.partitionBy(key, "ppos").orderBy("pos")
+    has = F.col("inner_text") != ""
+    el = el.withColumn("prev", F.when(F.col("ppos").isNotNull(), F.lag(F.substring("inner_text", 1, 40)).over(line)))
+    kin = el.filter("ppos is not null").select(key, "ppos", "pos", F.concat("tag", F.lit(":"), F.substring("inner_text", 1, 25)).alias("t"), has.alias("has"),
+                                               F.row_number().over(line).alias("r"), F.sum(has.cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("rt"))
+    entry = F.struct(F.col("pos").alias("kpos"), F.when(F.col("has"), F.col("t")).alias("t"))
+    family = kin.filter("r <= 3 or (has and rt <= 6)").groupBy(key, "ppos").agg(
+        F.array_sort(F.collect_list(F.when(F.col("r") <= 3, entry))).alias("kids"), F.array_sort(F.collect_list(F.when(F.col("has") & (F.col("rt") <= 6), entry))).alias("near"))
+    me = matched.join(el.select(key, "pos", "tag", "attrs", "ppos", "prev"), [key, "pos"]).select(
+        key, "cand_pos", "pos", "tag", "ppos", "prev", html_attr(a, "id").alias("own_id"), html_attr(a, "aria-labelledby").alias("lby"))
 
     ids = ("cand_pos",)
     who = [key, *ids]
@@ -199,15 +208,11 @@ def element_context(matched: DataFrame, stream: DataFrame, key: str = "id") -> D
     ref = el.select(key, html_attr(a, "id").alias("lby"), F.struct("pos", F.substring("inner_text", 1, 50).alias("t")).alias("x")).filter("lby <> ''")
     by_ref = me.filter("lby <> ''").join(ref, [key, "lby"]).groupBy(*who).agg(F.min("x").alias("x")).select(*who, F.col("x.t").alias("label_by"))
 
-    kin = el.select(key, "ppos", F.col("pos").alias("kpos"), F.col("tag").alias("ktag"), "inner_text")
-    sib = me.select(*who, "pos", "ppos").join(kin, [key, "ppos"]).filter("kpos <> pos")
-    sibs = sib.groupBy(*who).agg(
-        F.max_by(F.substring("inner_text", 1, 40), F.when(F.col("kpos") < F.col("pos"), F.col("kpos"))).alias("prev"),
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("inner_text") != "", F.struct("kpos", F.concat("ktag", F.lit(":"), F.substring("inner_text", 1, 25)).alias("t"))))), 1, 5).alias("near"))
-    child = me.select(*who, F.col("pos").alias("ppos")).join(kin, [key, "ppos"]).groupBy(*who).agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("kpos", F.when(F.col("inner_text") != "", F.concat("ktag", F.lit(":"), F.substring("inner_text", 1, 25))).alias("t")))), 1, 3).alias("kids"))
+    others = F.slice(F.filter("near", lambda x: x["kpos"] != F.col("pos")), 1, 5)
+    child = family.select(key, F.col("ppos").alias("pos"), "kids")
     par = el.select(key, F.col("pos").alias("ppos"), F.lower("tag").alias("ptag"), F.substring(first_filled(html_attr(a, "aria-label"), html_attr(a, "role")), 1, 25).alias("prole"))
-    d = (me.join(by_for, who, "left").join(by_ref, who, "left").join(sibs, who, "left").join(child, who, "left").join(par, [key, "ppos"], "left"))
+    d = (me.join(family.select(key, "ppos", "near"), [key, "ppos"], "left").withColumn("near", others).join(child, [key, "pos"], "left")
+         .join(by_for, who, "left").join(by_ref, who, "left").join(par, [key, "ppos"], "left"))
     label = first_filled(tx.text("label_for"), tx.text("label_by"))
     rooted = F.col("ptag").isNull() | F.col("ptag").isin(*ROOTS)
     listed = lambda c: F.array_join(F.filter(F.transform(c, lambda s: s["t"]), lambda t: t.isNotNull()), ", ")

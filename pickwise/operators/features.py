@@ -94,9 +94,9 @@ def _elem() -> Column:
 def cand_cosine(cand: DataFrame, word: DataFrame, char: DataFrame) -> DataFrame:
     """cos_w_task_elem, cos_w_hist_elem, cos_c_task_elem per (id, cand_pos)."""
     w = tfidf.cosine(cand.select("id", "cand_pos", tfidf.word_terms(_elem()).alias("e"), tfidf.word_terms("task").alias("t"), tfidf.word_terms("history").alias("h")),
-                     ("id", "cand_pos"), "e", ("t", "h"), word, WORD_FEATURES)
+                     ("id", "cand_pos"), "e", ("t", "h"), word)
     c = tfidf.cosine(cand.select("id", "cand_pos", tfidf.char_terms(_elem()).alias("e"), tfidf.char_terms("task").alias("t")),
-                     ("id", "cand_pos"), "e", ("t",), char, CHAR_FEATURES)
+                     ("id", "cand_pos"), "e", ("t",), char)
     return w.select("id", "cand_pos", F.col("cos_t").alias("cos_w_task_elem"), F.col("cos_h").alias("cos_w_hist_elem")).join(
         c.select("id", "cand_pos", F.col("cos_t").alias("cos_c_task_elem")), ["id", "cand_pos"])
 

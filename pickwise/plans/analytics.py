@@ -65,7 +65,7 @@ def _(fx):
 def _(fx):
     d = fx.table("documents").select("doc_id", ti.word_terms("text").alias("terms"))
     v = ti.fit(d, ("doc_id",), ("terms",), 3000, 2)
-    return ti.weights(d, ("doc_id",), "terms", v, 3000).withColumn("weight", r6("weight"))
+    return ti.weights(d, ("doc_id",), "terms", v).withColumn("weight", r6("weight"))
 
 
 @query("q5_13_char_ngrams", r"""

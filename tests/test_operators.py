@@ -258,3 +258,44 @@ def test_submission_problems_are_raised(spark):
     bad = spark.createDataFrame([(1, "CLICK", "a", "x")], "id long, op string, target_id string, value string")
     with pytest.raises(ValueError, match="click_with_value"):
         ev.raise_on_problems(ev.check_submission(bad))
+
+
+# ---------------------------------------------------------------- session
+
+def test_scratch_folder_must_be_shared(spark):
+    """Off one machine an unset folder is an error, not a temporary folder."""
+    from pickwise import session
+
+    class Cluster:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_dir(Cluster)
+
+
+def test_open_bins_have_no_upper_end(spark):
+    from pickwise.operators import profile as pf
+    d = spark.createDataFrame([(0, 1), (15, 1), (120, 0), (10_000, 1)], "n int, hit int")
+    got = {r["bin"]: r["n"] for r in pf.binned_accuracy(d, "n", "hit").collect()}
+    assert got == {"0-0": 1, "1-3": 0, "4-6": 0, "7-9": 0, "10-14": 0, "15+": 3}
+
+
+def test_element_context_wide_parent(spark):
+    """A parent with many children: three children, five neighbours, the text before."""
+    html = "<div>" + "".join(f"<p>t{i}</p>" for i in range(40)) + "</div>"
+    pages = spark.createDataFrame([(1, html)], "id long, html string")
+    stream = dom.tag_stream(pages, "id", "html", void_leaf=True)
+    me = dom.nodes(stream).select("id", F.col("pos").alias("cand_pos"), "pos")
+    got = {r["cand_pos"]: r["context"] for r in dom.element_context(me, stream).collect()}
+    assert got[0] == "children:[p:t0, p:t1, p:t2]"
+    assert got[1] == "near:[p:t1, p:t2, p:t3, p:t4, p:t5]" and got[5] == "prev:t1 | near:[p:t0, p:t1, p:t3, p:t4, p:t5]"
