@@ -3,11 +3,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators import models as md, rank as rk, rows as rw, rules as rl, split as sp
+from ..operators.features import V2_FEATURES
 from ..session import scratch_dir
 from ..sources import io
+from ..sources.schema import OPS
 from ..streaming import scoring as st
 from .basic import r6
 from .registry import query
@@ -44,54 +46,90 @@ def _(fx):
     return sp.sample_exact(fx.decisions.select("id"), 700)
 
 
-# ---------------------------------------------------------------- models (row counts only)
+# ---------------------------------------------------------------- models
+#
+# A fitted number has no SQL form. Each query gives what SQL can state exactly: which rows were held out, their folds
+# and counts, and whether the fitted part keeps its bounds. Model queries run the defaults of `operators.models`; cross validation says its own.
 
-@query("q14_1_fit_op")
+_ROW_VALID = "(select id from (select id, row_number() over (order by md5(concat('0|', id)), id::varchar) <= floor(count(*) over () * 0.2) as v from decisions) q where v)"
+
+
+def _folds(k):
+    return f"""f as (select site_token, (case when (i // {k}) % 2 = 0 then i % {k} else {k - 1} - i % {k} end)::int as fold from
+ (select site_token, row_number() over (order by count(*) desc, md5(site_token), site_token) - 1 as i from decisions group by site_token) r)"""
+
+
+def _share(c):
+    """True for a value between 0 and 1."""
+    return F.coalesce(F.col(c).between(0.0, 1.0), F.lit(False))
+
+
+@query("q14_1_fit_op", f"select op, count(*) as n, true as in_bounds from decisions where id in {_ROW_VALID} group by op")
 def _(fx):
     d = sp.row_split(fx.decisions.select(*COLS))
     fit = md.materialize(md.op_inputs(d.filter("not is_valid")), "op-train")
-    p = md.predict_op(md.fit_op(fit, 10), md.op_inputs(d.filter("is_valid")))
-    return p.join(d.select("id", "op"), "id").groupBy("op").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("op") == F.col("pred_op")).cast("double"))).alias("accuracy"))
+    p = md.predict_op(md.fit_op(fit), md.op_inputs(d.filter("is_valid")))
+    hit = p.join(d.select("id", "op"), "id").groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("op") == F.col("pred_op")).cast("double")).alias("accuracy"))
+    return hit.select("op", "n", _share("accuracy").alias("in_bounds"))
 
 
-@query("q14_2_oof_proba")
+@query("q14_2_oof_proba", f"with {_folds(5)} select d.id, f.fold, 1.0::double as total, true as in_bounds from decisions d join f using (site_token)")
 def _(fx):
     d = fx.decisions.select(*COLS)
-    inputs = md.materialize(sp.with_fold(md.op_inputs(d).join(d.select("id", "site_token"), "id"), 3), "oof-inputs")
-    return md.oof_proba(inputs, 3, 10).select("id", "fold", "pred_op", *[r6(c).alias(c) for c in md.PROBS])
+    inputs = md.materialize(sp.with_fold(md.op_inputs(d).join(d.select("id", "site_token"), "id")), "oof-inputs")
+    total, fine = sum((F.col(c) for c in md.PROBS), F.lit(0.0)), F.lit(True)
+    for c in md.PROBS:
+        fine = fine & _share(c)
+    return md.oof_proba(inputs).select("id", "fold", r6(total).alias("total"), (fine & F.col("pred_op").isin(*OPS)).alias("in_bounds"))
+
+
+_RANKED = f"select id, count(*) as n, 1::bigint as first, max(cand_pos) + 1 as last, true as in_bounds from candidates where id in {_ROW_VALID} group by id"
 
 
-def _ndcg(scored):
-    ranked = rk.target_rank(scored.select("id", "is_target", F.col("pos").alias("cand_pos"), F.round("score", 9).alias("score")), "score")
-    a, b = rk.topk_accuracy(ranked), rk.ndcg(ranked)
-    return a.withColumns({c: b.select(c).scalar() for c in b.columns})
+def _ranks(scored):
+    """Ranks of the held-out candidates: they run from 1 to n, and the targets' NDCG lies between 0 and 1."""
+    rows = scored.select("id", "is_target", F.col("pos").alias("cand_pos"), F.round("score", 9).alias("score"))
+    quality = rk.ndcg(rk.target_rank(rows, "score")).select("ndcg5").scalar()
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "cand_pos")))
+    return ranked.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("r").cast("bigint").alias("first"), F.max("r").alias("last"), F.count("score").alias("k")).select(
+        "id", "n", "first", "last", ((F.col("k") == F.col("n")) & quality.between(0.0, 1.0)).alias("in_bounds"))
 
 
-@query("q14_3_pairwise_ranker")
+@query("q14_3_pairwise_ranker", _RANKED)
 def _(fx):
-    return _ndcg(md.fit_ranker_v2(fx.decisions.select(*COLS))[2])
+    return _ranks(md.fit_ranker_v2(fx.decisions.select(*COLS))[2])
 
 
-@query("q14_3_pointwise_ranker")
+@query("q14_3_pointwise_ranker", _RANKED)
 def _(fx):
-    return _ndcg(md.fit_ranker_v2(fx.decisions.select(*COLS), kind="pointwise", trees=8)[2])
+    return _ranks(md.fit_ranker_v2(fx.decisions.select(*COLS), kind="pointwise")[2])
 
 
-@query("q8_15_feature_importance")
+@query("q8_15_feature_importance", "select unnest([" + ", ".join(f"'{f}'" for f in V2_FEATURES) + "]) as feature, 1.0::double as total, true as in_bounds", needs=None)
 def _(fx):
-    ranker, _, _ = md.fit_ranker_v2(fx.decisions.select(*COLS), kind="pointwise", trees=4)
-    return md.feature_importance(ranker, fx.spark)
+    ranker, _, _ = md.fit_ranker_v2(fx.decisions.select(*COLS), kind="pointwise")
+    imp = md.feature_importance(ranker, fx.spark)
+    return imp.select("feature", F.round(imp.agg(F.sum("importance")).scalar(), 6).alias("total"), _share("importance").alias("in_bounds"))
 
 
-@query("q14_7_cross_validate")
+@query("q14_7_cross_validate", f"""with {_folds(2)}, c as (select fold::varchar as fold, count(*)::double as n from decisions join f using (site_token) group by fold)
+select fold, n, true as in_bounds from c union all select 'mean', avg(n), true from c""")
 def _(fx):
-    return md.cross_validate(fx.decisions.select(*COLS), k=2, inner=2, iterations=8)
+    # every outer fold fits all stages anew, so this one query runs two outer and two inner folds
+    m = md.cross_validate(fx.decisions.select(*COLS), k=2, inner=2)
+    fine = F.lit(True)
+    for c in ("op_acc", "target_id_acc", "value_acc"):
+        fine = fine & _share(c) & (F.col("exact_match") <= F.col(c) + 1e-9)
+    return m.select("fold", "n", (fine & _share("exact_match")).alias("in_bounds"))
 
 
-@query("q14_8_fit_predict")
+@query("q14_8_fit_predict", """with g as (select distinct site_token from decisions), r as (select *, row_number() over (order by md5(concat('42|', site_token)), site_token) as k, count(*) over () as n from g)
+select d.id, true as op_known, true as own_candidate from decisions d join r using (site_token) where r.k <= ceil(r.n*0.2)""")
 def _(fx):
     d = sp.group_split(fx.decisions.select(*COLS))
-    return md.fit_predict(d.filter("not is_valid").drop("is_valid"), d.filter("is_valid").select("id", "site_token", "task", "history", "cleaned_html", "cands"), inner=2, iterations=8)
+    p = md.fit_predict(d.filter("not is_valid").drop("is_valid"), d.filter("is_valid").select("id", "site_token", "task", "history", "cleaned_html", "cands"))
+    own = F.exists("cands", lambda c: c["candidate_id"] == F.col("target_id"))
+    return p.join(fx.decisions.select("id", "cands"), "id").select("id", F.col("op").isin(*OPS).alias("op_known"), F.coalesce(own, F.lit(False)).alias("own_candidate"))
 
 
 @query("q3_9_outside_scorer", "select c.candidate_id, round(length(c.text)::double / (1 + length(c.attrs)), 6) as score from candidates c join decisions d on d.id=c.id")

@@ -12,11 +12,11 @@ BASE = ("id", "site_token", "task", "history", "cands", "op", "target_id", "valu
 
 # per decision and candidate: open tokens, score, rank by (score desc, position)
 _SCORED = f"""
-with tk as (select id, {sql_tokset('task')} as t, {sql_tokset('history')} as h from decisions),
-rr as (select id, t, list_filter(t, lambda x: not list_contains(h, x)) as r from tk),
-ct as (select id, cand_pos, candidate_id, tag, name, label, opts, text, {sql_tokset("text || ' ' || attrs")} as c from candidates),
-sc as (select ct.*, t, r, case when len(r) > 0 then {sql_common('r', 'c')}::double / len(r) else {sql_jaccard('t', 'c')} end as score from ct join rr using (id)),
-rk as (select *, row_number() over (partition by id order by score desc, cand_pos) as rn from sc),
+with tk as materialized (select id, {sql_tokset('task')} as t, {sql_tokset('history')} as h from decisions),
+rr as materialized (select id, t, list_filter(t, lambda x: not list_contains(h, x)) as r from tk),
+ct as materialized (select id, cand_pos, candidate_id, tag, name, label, opts, text, {sql_tokset("text || ' ' || attrs")} as c from candidates),
+sc as materialized (select ct.*, t, r, case when len(r) > 0 then {sql_common('r', 'c')}::double / len(r) else {sql_jaccard('t', 'c')} end as score from ct join rr using (id)),
+rk as materialized (select *, row_number() over (partition by id order by score desc, cand_pos) as rn from sc),
 pk as (select * from rk where rn = 1)
 """
 
@@ -343,14 +343,14 @@ def _(fx):
 # ---------------------------------------------------------------- evaluation
 
 # heuristic answer per decision
-_ANSWER = _SCORED + r""", pl as (select id, task, unnest([text, name, replace(name,'_',' '), label]) as lab, generate_subscripts([1,2,3,4],1) as ord from (select pk.*, task from pk join decisions d on d.id=pk.id) where tag in ('input','textarea')),
-pu as (select *, row_number() over (partition by id, lower(lab) order by ord) as dup from pl where lab <> ''),
-pv as (select id, ord, length(lab) as n, trim(trim(regexp_replace(trim(regexp_extract(task, '(?i)\b' || lab || '\b\s*[:]?\s*([^,\.\n]+)', 1)), '(?i)\s+(and|with|for|to|then)\b.*$', '')), ',.;') as v from pu where dup=1),
-pt as (select id, v from (select *, row_number() over (partition by id order by n desc, ord) as rn from pv where v <> '') where rn=1),
-po as (select id, o, row_number() over (partition by id order by length(o) desc, ord) as rn from (select x.id, trim(o) as o, ord, task from (select id, unnest(string_split(opts,'/')) as o, generate_subscripts(string_split(opts,'/'),1) as ord from pk where tag='select') x join decisions d on d.id=x.id) where contains(lower(task), lower(o))),
-an as (select pk.id, pk.candidate_id as pred_target_id, len(pk.r) as n_open, case when tag in ('input','textarea') then 'TYPE' when tag='select' then 'SELECT' else 'CLICK' end as pred_op,
+_ANSWER = _SCORED + r""", pl as materialized (select id, task, unnest([text, name, replace(name,'_',' '), label]) as lab, generate_subscripts([1,2,3,4],1) as ord from (select pk.*, task from pk join decisions d on d.id=pk.id) where tag in ('input','textarea')),
+pu as materialized (select *, row_number() over (partition by id, lower(lab) order by ord) as dup from pl where lab <> ''),
+pv as materialized (select id, ord, length(lab) as n, trim(trim(regexp_replace(trim(regexp_extract(task, '(?i)\b' || lab || '\b\s*[:]?\s*([^,\.\n]+)', 1)), '(?i)\s+(and|with|for|to|then)\b.*$', '')), ',.;') as v from pu where dup=1),
+pt as materialized (select id, v from (select *, row_number() over (partition by id order by n desc, ord) as rn from pv where v <> '') where rn=1),
+po as materialized (select id, o, row_number() over (partition by id order by length(o) desc, ord) as rn from (select x.id, trim(o) as o, ord, task from (select id, unnest(string_split(opts,'/')) as o, generate_subscripts(string_split(opts,'/'),1) as ord from pk where tag='select') x join decisions d on d.id=x.id) where contains(lower(task), lower(o))),
+an as materialized (select pk.id, pk.candidate_id as pred_target_id, len(pk.r) as n_open, case when tag in ('input','textarea') then 'TYPE' when tag='select' then 'SELECT' else 'CLICK' end as pred_op,
  case when tag='select' then coalesce(po.o,'') when tag in ('input','textarea') then coalesce(pt.v,'') else '' end as pred_value from pk left join pt on pt.id=pk.id left join po on po.id=pk.id and po.rn=1),
-hits as (select d.id, d.op, d.site_token, case when contains(cleaned_html,'workflow-context') or contains(cleaned_html,'completed-fields') then 'workflow' else 'real_web' end as html_type,
+hits as materialized (select d.id, d.op, d.site_token, case when contains(cleaned_html,'workflow-context') or contains(cleaned_html,'completed-fields') then 'workflow' else 'real_web' end as html_type,
  d.site_token in """ + TRAIN_SITES + r""" as site_seen, an.n_open, pred_op, pred_value, (pred_op=d.op)::int as o, (pred_target_id=d.target_id)::int as t, (pred_value=d.value)::int as v, (pred_op=d.op and pred_target_id=d.target_id and pred_value=d.value)::int as a
  from decisions d join an on an.id=d.id)
 """
