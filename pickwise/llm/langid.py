@@ -105,7 +105,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Null languages, null texts and texts without a letter teach nothing; with no row left nothing is learned.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
