@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pickwise.llm.common import text_map
 
 BUCKETS, DIM, EPOCHS, STEP = 1 << 15, 16, 6, 0.15
-PER_LANGUAGE = 1000  # bound of the training sample, rows of one language
+PER_LANGUAGE = 500  # bound of the training sample, rows of one language
 LET_THROUGH = 0.999  # share of held-back texts whose prediction must not be rejected
 CHUNK = 1 << 20
 UNKNOWN = "und"
