@@ -86,7 +86,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFram
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["a", "ctx", "n", "j", "low", "h1", "h2"])
 
-    read = _join_text(docs, spans, "inner").select("id", "text", "spans").mapInArrow(windows, "a bigint, ctx bigint, n int, j int, low bigint, h1 bigint, h2 bigint")
+    # rows that repeat are read once: each window of a class has one source
+    once = _join_text(docs, spans, "inner").dropDuplicates(["id", "sig"])
+    read = once.select("id", "text", "spans").mapInArrow(windows, "a bigint, ctx bigint, n int, j int, low bigint, h1 bigint, h2 bigint")
     read = materialize(read, "windows")
     low = materialize(read.groupBy("h1", "h2").agg(F.min("low").alias("m"), F.max("low").alias("x")).where("m < x").select("h1", "h2", "m"), "shared-windows")
     # of a class only windows that occur below its own lowest source need naming

@@ -58,6 +58,15 @@ def test_substring_branching(spark):
     assert got == brute_cut(rows)
 
 
+def test_substring_repeated_row(spark):
+    """A row that repeats and shares only a passage with a smaller id: its branching classes have the row itself as source."""
+    passage = [f"p{i}" for i in range(70)]
+    own = [f"a{i}" for i in range(60)] + passage + [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join([f"c{i}" for i in range(60)] + passage + [f"d{i}" for i in range(60)])), (2, " ".join(own)), (2, " ".join(own)), (3, " ".join(own[30:150]))]
+    got = sorted(tuple(r) for r in substring.removal_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == brute_cut(rows) and [r[2] for r in got] == [0, 70, 70, 120]
+
+
 def test_substring_text(docs, rows):
     kept = substring.without_repeats(docs)
     assert kept.columns == docs.columns and kept.count() == len(rows)
