@@ -27,6 +27,36 @@ def test_stages(spark, docs, rows):
     assert packed.groupBy("doc_id").agg({"length": "sum"}).count() == len(ids[5])
 
 
+def test_near_dedup_is_by_jaccard(spark):
+    """Just the documents stay that no smaller kept one shares 0.8 of the five-word shingles with."""
+    import random
+    rng = random.Random(4)
+    texts = []
+    for i in range(30):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 120))]
+        texts.append(" ".join(own))
+        for _ in range(rng.randrange(8)):  # chains of copies, each with a few other words or a tail
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = f"w{rng.randrange(10**6)}"
+            own += [f"t{rng.randrange(10**6)}"] * rng.randrange(4)
+            texts.append(" ".join(own))
+    texts += [texts[0].upper(), "one", "one", "", None]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts)) + [(3, texts[3]), (None, texts[0]), (5, "another text of id five")]
+
+    def parts(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+
+    kept = []
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        s = parts(t)
+        if not any(s == k or 5 * len(s & k) >= 4 * len(s | k) > 0 for _, k, _ in kept):
+            kept.append((i, s, t))
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), None).collect()
+    assert sorted((str(r[0]), sorted(parts(r[1]))) for r in got) == sorted([(str(i), sorted(s)) for i, s, _ in kept] + [("None", sorted(parts(texts[0])))])
+
+
 def test_stages_empty(spark, empty):
     assert stages(spark, empty)[-1].count() == 0
 
