@@ -1,6 +1,11 @@
 """Language-model scores by prediction by partial matching.
 
-A text is a row of words and one end. Each word is coded by the longest context that knows it:
+``trie_score`` is the byte model: a trie of byte contexts, counted over all occurrences in the training rows, gives the
+probability of every byte of every text. A text is its words, a blank behind each and one end; contexts hold up to
+five bytes before, across words, and begin with a blank before the text. Escapes and exclusion are as in 3 below, and
+so the probabilities of all texts add up to one.
+
+``score`` is a model of words with that trie for unknown ones. Its text is a row of words and one end. Each word is coded by the longest context that knows it:
 
 1. the text itself (adaptive): the word that followed the last word before. How often this was right so far in
    the text sets its share; a miss escapes, and the word predicted is excluded from what follows;
@@ -29,6 +34,7 @@ from pickwise.session import materialize
 
 ORDER, BASE = 5, 257
 HEAD_WORDS, HEAD_GRAMS, FLUSH = 200_000, 1 << 17, 200_000
+HEAD_BYTES, CHUNK = 1 << 19, 1 << 20
 END = ((ord(" ") + 1) * 256) + ord("\n")  # the end of a text, after a blank
 
 
@@ -260,3 +266,131 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     return part.drop("rest", "times", "left").join(more, "row", "left").select(
         F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"), (F.col("lp") + F.coalesce("p", F.lit(0.0))).alias("score"))
+
+
+def text_grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, text index) of every byte of the texts' words, the blank behind each word and the end."""
+    lines = [b" " + b"".join(w + b" " for w in words) + b"\n" for words in texts]
+    line = np.frombuffer(b"".join(lines), np.uint8).astype(np.int64)
+    size = np.array([len(x) for x in lines], np.int64)
+    text = np.repeat(np.arange(len(lines)), size)
+    place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
+    context = np.zeros(len(line), np.int64)
+    for o in range(1, ORDER + 1):
+        context[o:] += np.where(place[o:] >= o, line[:-o] + 1, 0) * BASE ** (o - 1)
+    coded_ = place > 0
+    return (context * 256 + line)[coded_], text[coded_]
+
+
+def _chunks(batch: pa.RecordBatch):
+    """(first row, words of each text) of pieces of about ``CHUNK`` bytes."""
+    held, first, size = [], 0, 0
+    for i, text in enumerate(batch.column("text").to_pylist()):
+        raw = (text or "").encode().lower()
+        held.append(raw.split())
+        size += len(raw)
+        if size >= CHUNK:
+            yield first, held
+            held, first, size = [], i + 1, 0
+    if held:
+        yield first, held
+
+
+def _count_text_grams(rows: DataFrame) -> DataFrame:
+    """(gram, n): occurrences in training rows; grams of other rows come with 0."""
+    def run(batches):
+        kinds, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged():
+            g = np.concatenate([kinds, *(h[0] for h in held)])
+            m = np.concatenate([n, *(h[1] for h in held)])
+            held.clear()
+            order = np.argsort(g, kind="stable")
+            g, m = g[order], m[order]
+            at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
+            return g[at], np.add.reduceat(m, at) if len(at) else m
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], names=["gram", "n"])
+
+        for b in batches:
+            train = b.column("train").to_numpy(zero_copy_only=False)
+            for first, texts in _chunks(b):
+                g, t = text_grams(texts)
+                learned = train[first : first + len(texts)].astype(bool)[t]
+                seen, times = np.unique(g[learned], return_counts=True)
+                other = np.unique(g[~learned])
+                held += [(seen, times.astype(np.int64)), (other, np.zeros(len(other), np.int64))]
+                if sum(len(h[0]) for h in held) > CHUNK:
+                    kinds, n = merged()
+                    if len(kinds) > CHUNK:
+                        yield out()
+                        kinds, n = kinds[:0], n[:0]
+        kinds, n = merged()
+        if len(kinds):
+            yield out()
+
+    part = rows.select("text", "train").mapInArrow(run, "gram bigint, n bigint")
+    return materialize(part.groupBy("gram").agg(F.sum("n").alias("n")), "text-grams")
+
+
+def trie_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) for every row, learning from the rows where ``train`` holds.
+
+    ``score``: log10 probability of the text's bytes under the trie; the other columns as in ``score()``. Without
+    training rows every byte costs log10(256).
+    """
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    n_texts = rows.where("train").count()
+    words = _count_words(rows)
+    total = words.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    n, v = (total["n"] or 0) + n_texts, (total["v"] or 0) + (n_texts > 0)
+    costs = _gram_costs(_count_text_grams(rows))
+    grams_ = _head(costs, "n", HEAD_BYTES).select("gram", "lp").toArrow().sort_by("gram")
+    head = _head(words, "c", HEAD_WORDS).toArrow()
+    frequent = {w: c for w, c in zip(head.column("word").to_pylist(), head.column("c").to_pylist())}
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, grams_.column("gram").to_numpy(), grams_.column("lp").to_numpy()))
+    end_known, end_base = int(n_texts > 0), log10(n_texts + 1)
+
+    def lists(values, per_text, kind):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_text))), pa.int32()), pa.array(values, kind))
+
+    def run(batches):
+        counts, known, cost = shared.value
+        for b in batches:
+            for first, texts in _chunks(b):
+                g, t = text_grams(texts)
+                kinds, back = np.unique(g, return_inverse=True)
+                at = np.minimum(np.searchsorted(known, kinds), max(0, len(known) - 1))
+                hit = known[at] == kinds if len(known) else np.zeros(len(kinds), bool)
+                lp = np.bincount(t, weights=np.where(hit, cost[at] if len(known) else 0.0, 0.0)[back], minlength=len(texts))
+                left = ~hit[back]
+                k, s, rest, times, per_text = [], [], [], [], []
+                for all_words in texts:
+                    known_, base, before = end_known, end_base, len(rest)
+                    for w, tf in Counter(all_words).items():
+                        c = counts.get(w)
+                        if c is None:
+                            rest.append(w)
+                            times.append(tf)
+                        else:
+                            known_ += tf
+                            base += tf * log10(c + 1)
+                    k.append(known_)
+                    s.append(base)
+                    per_text.append(len(rest) - before)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id").slice(first, len(texts)), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.float64()), pa.array(lp),
+                     lists(rest, per_text, pa.binary()), lists(times, per_text, pa.int32()), lists(g[left], np.bincount(t[left], minlength=len(texts)), pa.int64())],
+                    names=["id", "n_tokens", "n_known", "base", "lp", "rest", "times", "grams"])
+
+    part = rows.select("id", "text").mapInArrow(run, "id bigint, n_tokens bigint, n_known bigint, base double, lp double, rest array<binary>, times array<int>, grams array<bigint>")
+    part = materialize(part.withColumn("row", F.monotonically_increasing_id()), "texts")
+    rare = part.select("row", F.inline(F.arrays_zip(F.col("rest").alias("word"), F.col("times").alias("tf")))).join(words, "word")
+    more = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("b"))
+    spelled = part.select("row", F.explode("grams").alias("gram")).join(costs.select("gram", F.col("lp").alias("p")), "gram").groupBy("row").agg(F.sum("p").alias("p"))
+    whole = log10(n + v + 1)
+    return part.drop("rest", "times", "grams").join(more, "row", "left").join(spelled, "row", "left").select(
+        F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
+        (F.col("base") + F.coalesce("b", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"), (F.col("lp") + F.coalesce("p", F.lit(0.0))).alias("score"))

@@ -331,6 +331,76 @@ def test_ppm_is_a_distribution():
     assert len(g) == sum(len(w) + 1 for w in words)
 
 
+def brute_trie(rows, train):
+    """Longest context first, over all occurrences, across words."""
+    lines = [b" " + b"".join(w + b" " for w in ascii_lower(r[1] or "").encode().split()) + b"\n" for r in rows]
+    tree = defaultdict(Counter)
+    for r, x in zip(rows, lines):
+        if train(r):
+            for k in range(1, len(x)):
+                for o in range(6):
+                    tree[o, x[max(0, k - o) : k].rjust(o, b"\x00")][x[k]] += 1
+
+    def p(before, s):
+        out, p = set(), 1.0
+        for o in range(5, -1, -1):
+            node = tree.get((o, before[max(0, len(before) - o):].rjust(o, b"\x00")))
+            left = {a: q for a, q in node.items() if a not in out} if node else {}
+            total, kinds = sum(left.values()), len(left)
+            if not kinds:
+                continue
+            if s in left:
+                return p * left[s] / (total + kinds)
+            p *= kinds / (total + kinds)
+            out |= set(left)
+        return p / (256 - len(out))
+
+    return p, [sum(math.log10(p(x[max(0, k - 5) : k], x[k])) for k in range(1, len(x))) for x in lines]
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_ppm_trie_codes_every_byte(docs, rows, some, monkeypatch):
+    monkeypatch.setattr(ppm, "HEAD_BYTES", 50)  # the joins take the rest
+    monkeypatch.setattr(ppm, "HEAD_WORDS", 20)
+    train = (lambda r: r[0] is not None and r[0] % 3 != 0) if some else (lambda r: False)
+    df = ppm.trie_score(docs, F.col("doc_id") % 3 != 0 if some else F.lit(False))
+    got = sorted(((str(r["doc_id"]), *r[1:]) for r in df.collect()), key=lambda r: (r[0], r[1]))
+    p, scores = brute_trie(rows, train)
+    want = sorted(((*w[:5], z) for w, z in zip(brute_scores(rows, train), scores)), key=lambda r: (r[0], r[1]))
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert np.allclose([g[4:] for g in got], [w[4:] for w in want], rtol=1e-9)
+    if some:
+        for before in (b" ", b" th", b"e le ", b"x x x", b"zzzzz", "père ".encode()[-5:]):
+            assert math.isclose(sum(p(before, s) for s in range(256)), 1.0, rel_tol=1e-9)
+
+
+def test_ppm_trie_is_a_distribution(spark):
+    """The probabilities of all bytes after a context, as the joins give them, add up to one."""
+    g, _ = ppm.text_grams([b"the then there a an the".split(), [], b"an ant the".split()])
+    seen = Counter(g.tolist())
+    contexts = {x // 256 for x in seen} | {ord("q") + 1, 0}
+    rows = [(c * 256 + s, seen.get(c * 256 + s, 0)) for c in sorted(contexts) for s in range(256)]
+    added = Counter()
+    for r in ppm._gram_costs(spark.createDataFrame(rows, "gram bigint, n bigint")).collect():
+        added[r["gram"] // 256] += 10 ** r["lp"]
+    assert set(added) == contexts and all(math.isclose(x, 1.0, rel_tol=1e-9) for x in added.values())
+
+
+def test_op6_is_the_trie(spark, monkeypatch):
+    """The query scores known words by their bytes too."""
+    from pickwise.llm import queries
+    d = spark.createDataFrame([(i, "alpha beta gamma alpha delta") for i in range(1, 15)], "doc_id bigint, text string")
+    monkeypatch.setattr(queries, "table", lambda *a: d)
+    got = queries.op6(spark, None).collect()
+    train = [(i, t) for i, t in d.collect() if zlib.crc32(str(i).encode()) % 7 != 2]
+    _, scores = brute_trie(d.collect(), lambda r: r in train)
+    assert np.allclose(sorted(r["score"] for r in got), sorted(scores))
+
+
+def test_ppm_trie_empty(empty):
+    assert ppm.trie_score(empty, F.lit(True)).count() == 0
+
+
 def test_ppm_empty(empty):
     assert ppm.score(empty, F.lit(True)).count() == 0
 
