@@ -101,18 +101,19 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], n_languages: int, s
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Model from rows with text and language. Rows of a language are sampled by a hash of their id to about ``per_language``.
+    """Model from rows with text and language. Rows of a language are sampled by a hash of id and text to about ``per_language``.
 
     Null languages, null texts and texts without a letter teach nothing; with no row left nothing is learned.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.pmod(F.xxhash64(text_col), F.lit(1 << 40))).alias("k"),
+                       F.xxhash64(F.col(id_col).cast("bigint"), text_col).alias("drawn"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     share = F.create_map(*[x for l, n in counts.items() for x in (F.lit(l), F.lit(min(1.0, per_language / n)))])
     code = F.create_map(*[x for i, l in enumerate(languages) for x in (F.lit(l), F.lit(i))])
-    picked = rows.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < share[F.col("l")] * 1_000_000)
+    picked = rows.where(F.pmod("drawn", F.lit(1_000_000)) < share[F.col("l")] * 1_000_000)
 
     def features(text):
         if has_letter(text):
@@ -155,13 +156,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows whose language is accepted, with the columns they came with."""
+    """The rows whose language is accepted, with the columns they came with; with nothing learned all with a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    def accepted(text):
+        return not shared.value.predict(text)[2] if shared.value.languages else has_letter(text)
+
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            yield batch.filter(pa.array([not shared.value.predict(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([accepted(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

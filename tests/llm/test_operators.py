@@ -429,6 +429,19 @@ def test_language_pieces(monkeypatch):
     assert np.abs(whole - parts).sum() < 0.2 * whole.sum()
 
 
+def test_language_nothing_learned(spark):
+    """Without a language column to learn from only texts without a letter go."""
+    d = spark.createDataFrame([(1, "plain words", None), (2, "12 !!", None), (3, None, None), (4, "", None), (None, "more words", None)], "doc_id bigint, text string, lang string")
+    kept = langid.keep_known(d, langid.fit(d))
+    assert sorted(r["text"] for r in kept.collect()) == ["more words", "plain words"]
+
+
+def test_language_learns_without_ids(spark):
+    """Rows without an id are sampled by their text."""
+    d = spark.range(400).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("lang"))
+    assert langid.fit(d, per_language=30).languages == ["a", "b"]
+
+
 # ---- 8 embeddings
 
 @pytest.mark.parametrize("tile", [2048, 16])
