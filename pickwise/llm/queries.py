@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pickwise.llm import bpe, collide, langid, packing, ppm, quotes, rules, secrets, simhash, substring
+from pickwise.llm import bpe, collide, langid, packing, ppm, quotes, rules, secrets, simhash, substring, warc
 from pickwise.llm.common import fold, table
 
 QUERIES, ORACLES = {}, {}
@@ -109,3 +109,20 @@ from walk join m using (conv_id, turn)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations in mail form, each message under quotes of the two before it, linked and freed of quotes again."""
     return quotes.conversations(quotes.linked(quotes.quoting(table(spark, sf_dir, "conversations"))))
+
+
+OP12_SQL = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, strlen(h) as payload_bytes, sha1(h) as x, row_number() over same as nth, first_value(page_id) over same as first
+      from p window same as (partition by h order by page_id nulls last))
+select page_id, cast(payload_bytes as bigint) as payload_bytes,
+  array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(x, i + 1, 5) as bigint) >> s) & 31 as int) + 1, 1) for s in [15, 10, 5, 0]], '')
+                   for i in range(0, 40, 5)], '') as payload_digest,
+  case when nth = 1 then 'response' else 'revisit' end as record_type, case when nth > 1 then first end as refers_to
+from d
+"""
+
+
+@query("op12_warc_segments", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
