@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pickwise.llm import bpe, collide, langid, packing, ppm, quotes, rules, secrets, simhash, substring, warc
+from pickwise.llm import bpe, collide, langid, packing, ppm, prefixes, quotes, repair, rules, secrets, simhash, substring, warc
 from pickwise.llm.common import fold, table
 
 QUERIES, ORACLES = {}, {}
@@ -126,3 +126,87 @@ from d
 @query("op12_warc_segments", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
+
+
+# crc32 of a string in SQL: the table of the reflected polynomial, then one step per byte
+CRC_TABLE = """crc as (select list(v order by i) as tab from (select i, list_reduce(list_concat([i], range(8)), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as v from range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    steps = f"list_concat([4294967295], [cast(ascii(x) as bigint) for x in string_split({text}, '')])"
+    return f"xor(list_reduce({steps}, lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+OP11_SQL = f"""
+with {CRC_TABLE},
+t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i
+      from conversations where conv_id is not null),
+c as (select conv_id, n, {crc_sql("cast(conv_id as varchar)")} % 6 as h, conv_id - conv_id % 100 as base from (select conv_id, count(*) as n from t group by conv_id), crc),
+r as (select c.conv_id, b.i as d, role, text from c join t b on b.conv_id = c.base and b.i <= h
+      union all select c.conv_id, least(c.h, coalesce(b.n, 0)) + t.i - c.h, role, text from t join c using (conv_id) left join c b on b.conv_id = c.base where t.i > c.h),
+s as (select conv_id, d, length(text) as chars, string_agg(concat(length(role), ':', role, length(text), ':', text), '') over (partition by conv_id order by d) as key from r),
+p as (select conv_id, d, chars, key, lag(key, 1, '') over (partition by conv_id order by d) as up, d = max(d) over (partition by conv_id) as ends from s
+      union all select conv_id, 0, 0, '', null, conv_id not in (select conv_id from s) from c),
+nodes as (select key, any_value(up) as up, any_value(d) as d, any_value(chars) as chars, min(conv_id) as rep, count(*) as n, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '')) as e from p group by key),
+kids as (select up as key, count(*) as k from nodes where up is not null group by up),
+sub as (select a.key, sum(case when coalesce(k.k, 0) = 0 then 1 else 0 end) as leaves, sum((m.n - 1) * m.chars) as saved
+        from nodes m left join kids k using (key) join p a on a.conv_id = m.rep and a.d <= m.d group by a.key)
+select cast(n.rep as bigint) as conv_id, cast(n.d as bigint) as depth, u.rep as parent_conv_id, cast(n.n as bigint) as n_convs, cast(coalesce(k.k, 0) as bigint) as n_children,
+  cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, n.e as ends_sha256
+from nodes n join sub using (key) left join kids k using (key) left join nodes u on u.key = n.up
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def _op13_sql() -> str:
+    """The dynamic program as a recursion over rows: per place the least (cost, audit, repaired text)."""
+    kind = "struct(c bigint, s varchar, r varchar)"
+
+    def grown(a, cost, op, *lines):
+        return f"case when {a} is not null then {{'c': {a}.c + {cost}, 's': {a}.s || '{op}', 'r': {a}.r{''.join(f' || chr(10) || {x}' for x in lines)}}} end"
+
+    u, a = "'user:'", "'assistant:'"
+    to_user = ", ".join(["au", grown("a0", 5, "I", u), grown("s1", 5, "I", u), grown("aa", 5, "I", u)])
+    to_assistant = ", ".join(["aa", grown("au", 5, "I", a), grown("a0", 10, "II", u, a), grown("s1", 10, "II", u, a)])
+    keep, extra = "role || ':' || text", "(case when cut then 5 else 0 end)"
+
+    def kept(x, initial):
+        return f"case when not must and ini = '{initial}' then {grown(x, extra, 'K', keep)} end"
+
+    def reroled(x, role):
+        return f"case when not must then {grown(x, f'1 + {extra}', 'R', role + ' || text')} end"
+
+    gone = lambda x: grown(x, 2, "D")
+    users = [gone("eu")] + [kept(x, "u") for x in ("a0", "s1", "ea")] + [reroled(x, u) for x in ("a0", "s1", "ea")]
+    return f"""
+with recursive {CRC_TABLE},
+k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc_sql("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as kind from conversations, crc),
+d as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+        unnest(case when kind = 3 then [1, 2] else [1] end) as copy from k where kind <> 0),
+f as (select conv_id, turn, role, text, substr(role, 1, 1) as ini, row_number() over w as i, lag(substr(role, 1, 1)) over w as before, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as said
+      from d window w as (partition by conv_id order by turn nulls first, role, text)),
+g as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again from f),
+o as materialized (select *, said = '' or again as must, said <> '' and not again and right(said, 1) not in ('.', '!', '?') as cut from g),
+n as (select conv_id, cast(coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as bigint) as gaps, count(*) filter (said = '') as blank, count(*) filter (said <> '' and again) as duplicate,
+        count(*) filter (cut) as truncated, count(*) filter (before is not null and before || ini not in ('su', 'ua', 'au')) as illegal, max(i) as n from o group by conv_id),
+walk as (
+  select conv_id, cast(0 as bigint) as i, {{'c': 0::bigint, 's': '', 'r': ''}}::{kind} as a0, null::{kind} as s1, null::{kind} as au, null::{kind} as aa from n
+  union all
+  select conv_id, i, {gone("a0")}, list_min([{gone("s1")}, {kept("a0", "s")}]), list_min([{", ".join(users)}]), list_min([{gone("ea")}, {kept("eu", "a")}, {reroled("eu", a)}])
+  from (select o.conv_id, o.i, role, text, ini, must, cut, a0, s1, list_min([{to_user}]) as eu, list_min([{to_assistant}]) as ea from walk w join o on o.conv_id is not distinct from w.conv_id and o.i = w.i + 1)),
+e as (select n.*, list_min([a0, {to_assistant}]) as best from walk w join n on n.conv_id is not distinct from w.conv_id and n.n = w.i),
+ids as (select distinct conv_id from conversations)
+select ids.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(best.c, 0) as cost, coalesce(best.s, '') as audit, sha256(coalesce(substr(best.r, 2), '')) as repaired_sha256
+from ids left join e on e.conv_id is not distinct from ids.conv_id
+"""
+
+
+@query("op13_structure_repair", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(conversations), conversations)
