@@ -39,6 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of materialized frames that nothing reads any more."""
+    for f in frames:
+        for path in sorted({p.rsplit("/", 1)[0] for p in f.inputFiles()}):
+            to = f.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            to.getFileSystem(f.sparkSession._jsc.hadoopConfiguration()).delete(to, True)
+
+
 def free_name(wanted: str, taken) -> str:
     """A column name that clashes with none of the given ones (case-insensitive)."""
     low = {c.lower() for c in taken}

@@ -57,6 +57,39 @@ def test_near_dedup_is_by_jaccard(spark):
     assert sorted((str(r[0]), sorted(parts(r[1]))) for r in got) == sorted([(str(i), sorted(s)) for i, s, _ in kept] + [("None", sorted(parts(texts[0])))])
 
 
+@pytest.mark.parametrize("in_task,hub", [(50_000, 512), (40, 3)])
+def test_near_dedup_of_chains_and_hubs(spark, monkeypatch, in_task, hub):
+    """A long chain of texts, each like the next, and a large group of near copies: every document that goes has a kept smaller one like it."""
+    import random
+    from pickwise.llm import nearset
+    monkeypatch.setattr(nearset, "IN_TASK", in_task)
+    monkeypatch.setattr(nearset, "HUB", hub)
+    monkeypatch.setattr(nearset, "PART", 16)
+    rng = random.Random(6)
+    n, m = (2000, 1500) if in_task > 100 else (60, 90)
+    words = [f"c{i}" for i in range(n * 6 + 100)]
+    texts = [" ".join(words[6 * i : 6 * i + 100]) for i in range(n)]  # a chain: neighbours share 90 of 102 shingles, those after them fewer
+    base = [f"h{i}" for i in range(120)]
+    for _ in range(m):
+        own = list(base)
+        own[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+
+    def parts(t):
+        w = t.split()
+        return frozenset(hash(tuple(w[j : j + 5])) for j in range(len(w) - 4))
+
+    kept = []
+    for i, s in sorted((i, parts(t)) for i, t in rows):
+        near = kept[-4:] if i < n else [k for k in kept if k[0] >= n]
+        if not any(5 * len(s & k) >= 4 * len(s | k) for _, k in near):
+            kept.append((i, s))
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), None)
+    assert sorted(r["doc_id"] for r in got.collect()) == [i for i, _ in kept]
+
+
 def test_stages_empty(spark, empty):
     assert stages(spark, empty)[-1].count() == 0
 
