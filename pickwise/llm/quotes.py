@@ -4,7 +4,11 @@ Lines that begin with '>' marks are parsed into passages by nested level. A pass
 space collapsed, lower case) and hashed; unquoted passages and lines of all messages are the originals. A
 quotation is joined to the first message of its thread that holds its passage, or else to the first message at all that
 does, so a passage shared by very many messages still gives one row per quotation. A level-2 passage inside a
-quoted level-1 passage says the same of the quoted message. Chains of replies are followed by pointer doubling.
+quoted level-1 passage says the same of the quoted message.
+
+One order holds for everything: (order, thread), null before all numbers. A message answers only messages that stand
+strictly before it, so links never form a cycle and don't depend on how the rows are stored. Chains of replies are
+followed by pointer doubling; messages whose root is found leave the rounds.
 """
 from __future__ import annotations
 
@@ -17,7 +21,6 @@ from pickwise.llm.common import text_map
 from pickwise.session import materialize
 
 _MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
-_SPACE = re.compile(r"\s+")
 _ATTRIBUTION = re.compile(r"^(?:On .{1,200} wrote|.{1,120} (?:wrote|said)):[ \t]*$")
 
 
@@ -25,7 +28,7 @@ def passages(text: str | None) -> list[tuple[int, list[str]]]:
     """(level, lines without marks) of the runs of lines with one quote level; level 0 is the message's own."""
     out: list[tuple[int, list[str]]] = []
     for line in (text or "").split("\n"):
-        m = _MARKS.match(line)
+        m = _MARKS.match(line) if ">" in line else None
         level = m[1].count(">") if m else 0
         body = line[m.end():] if m else line
         if not out or out[-1][0] != level:
@@ -34,85 +37,98 @@ def passages(text: str | None) -> list[tuple[int, list[str]]]:
     return out
 
 
-def own_text(text: str | None) -> str:
-    """The text without quotations and without the line that introduces one."""
-    runs = passages(text)
+def _own(runs: list[tuple[int, list[str]]]) -> str:
     kept: list[str] = []
     for k, (level, lines) in enumerate(runs):
         if level == 0:
-            follows = k + 1 < len(runs)
-            if follows and lines and _ATTRIBUTION.match(lines[-1]):
-                lines = lines[:-1]
-            kept += lines
+            introduces = k + 1 < len(runs) and lines and _ATTRIBUTION.match(lines[-1])
+            kept += lines[:-1] if introduces else lines
     return "\n".join(kept).strip("\n")
 
 
+def own_text(text: str | None) -> str:
+    """The text without quotations and without the line that introduces one."""
+    return _own(passages(text))
+
+
 def digest(s: str) -> str | None:
     """Hash of a normalised passage; None if nothing is left."""
-    s = _SPACE.sub(" ", s).strip().lower()
+    s = " ".join(s.split()).lower()
     return sha256(s.encode()).hexdigest()[:32] if s else None
 
 
 def parse(messages: DataFrame) -> DataFrame:
     """(key, level, seq, h, whole) of every passage and of every line in it; messages: key bigint, text."""
     def rows(text):
-        for seq, (level, lines) in enumerate(passages(text)):
+        runs = passages(text)
+        for seq, (level, lines) in enumerate(runs):
             if level == 0 and lines and _ATTRIBUTION.match(lines[-1]):
                 lines = lines[:-1]
             h = digest("\n".join(lines))
             if h:
                 yield level, seq, h, True
                 if len(lines) > 1:
-                    for x in lines:
-                        if (g := digest(x)) is not None:
-                            yield level, seq, g, False
-        own = digest(own_text(text))
+                    for g in {digest(x) for x in lines} - {None, h}:
+                        yield level, seq, g, False
+        own = digest(_own(runs))
         if own:
             yield 0, -1, own, True
 
     return text_map(messages, "level int, seq int, h string, whole boolean", rows, "key", "text")
 
 
+PLACE = ("numbered", "at", "threaded", "thread")  # the order of messages
+WHO = (*PLACE, "sig", "key")  # of messages at one place: by their text, then any
+
+
+def _before(a: str, b: str):
+    """Whether message a stands before message b; both are prefixes of the columns of PLACE."""
+    return F.struct(*[F.col(a + c) for c in PLACE]) < F.struct(*[F.col(b + c) for c in PLACE])
+
+
 def linked(messages: DataFrame, thread_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:
     """(thread, order, key, reply_to, root, depth, text) for every message.
 
-    ``messages`` must hold one row per thread and order; of repeated rows each stays and links as the first of them
-    would. reply_to and root are keys (the message itself is the root if it quotes nothing known); depth counts
-    replies up to the root; text is without quotes. Null and empty texts quote nothing. A message answers only earlier
-    ones (smaller order in its thread; smaller key elsewhere). Other columns are left out.
+    reply_to and root are keys (the message itself is the root if it quotes nothing known); depth counts replies up to
+    the root; text is without quotes. Null and empty texts quote nothing. A message answers only messages before it by
+    (order, thread), null first; messages at the same place, rows that repeat among them, don't answer each other, and
+    all of them answer alike what they quote. Rows without a thread are quoted from anywhere, but share no thread.
+    Other columns are left out.
     """
-    base = messages.select(F.col(thread_col).cast("bigint").alias("thread"), F.col(order_col).cast("bigint").alias("at"), F.col(text_col).cast("string").alias("text"))
-    base = materialize(base.withColumn("key", F.monotonically_increasing_id()), "messages")
-    place = base.select("key", "thread", "at")
+    base = messages.select(F.col(thread_col).cast("bigint").alias("t"), F.col(order_col).cast("bigint").alias("o"), F.col(text_col).cast("string").alias("text"))
+    base = base.select("t", "o", "text", F.col("o").isNotNull().alias("numbered"), F.coalesce("o", F.lit(0)).alias("at"), F.col("t").isNotNull().alias("threaded"),
+                       F.coalesce("t", F.lit(0)).alias("thread"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sig"), F.monotonically_increasing_id().alias("key"))
+    base = materialize(base, "messages")
+    place = base.select(*WHO)
     found = materialize(parse(base.select("key", "text")).join(place, "key"), "passages")
 
-    first = F.min(F.struct("at", "key")).alias("src")
+    first = F.min(F.struct(*WHO)).alias("src")
     originals = found.where("level = 0")
-    in_thread = materialize(originals.where("thread is not null").groupBy("thread", "h").agg(first), "originals")
-    anywhere = materialize(originals.groupBy("h").agg(F.min("key").alias("any")), "originals")
+    in_thread = materialize(originals.where("threaded").groupBy("thread", "h").agg(first).withColumn("threaded", F.lit(True)), "originals")
+    anywhere = materialize(originals.groupBy("h").agg(first.alias("any")), "originals")
     quotes = found.where("level > 0")
-    q = quotes.join(in_thread, ["thread", "h"], "left").join(anywhere, "h", "left")
-    in_order = F.when(F.col("src.at") < F.col("at"), F.col("src.key"))
-    q = q.select("key", "level", "seq", "whole", in_order.alias("near"), F.when((F.col("any") != F.col("key")) & in_order.isNull() & (F.col("any") < F.col("key")), F.col("any")).alias("far"))
+    q = quotes.join(in_thread, ["threaded", "thread", "h"], "left").join(anywhere, "h", "left")
+    near = F.when(_before("src.", ""), F.col("src"))
+    q = q.select("key", "level", "seq", "whole", near.alias("near"), F.when(_before("any.", ""), F.col("any")).alias("far"))
     # a whole passage before a line of it, a passage of the thread before one from elsewhere
-    rank = F.struct((~F.col("whole")).alias("part"), F.col("near").isNull().alias("far"), F.coalesce("near", "far").alias("to"))
+    rank = F.struct((~F.col("whole")).alias("part"), F.col("near").isNull().alias("elsewhere"), F.coalesce("near", "far").alias("to"))
     run = materialize(q.where("near is not null or far is not null").groupBy("key", "level", "seq").agg(F.min(rank).alias("r")).select("key", "level", "seq", F.col("r.to").alias("to")), "quotations")
-    own = run.where("level = 1").groupBy("key").agg(F.min(F.struct("seq", "to")).alias("x")).select("key", F.col("x.to").alias("reply_to"))
+    own = run.where("level = 1").groupBy("key").agg(F.min(F.struct("seq", "to")).alias("x")).select("key", F.col("x.to.key").alias("reply_to"))
     # the passage one level deeper next to a quotation is what the quoted message answers
     deeper = run.select("key", (F.col("level") - 1).alias("level"), F.explode(F.array(F.col("seq") - 1, F.col("seq") + 1)).alias("seq"), F.col("to").alias("under"))
-    said = run.join(deeper, ["key", "level", "seq"]).where("under < to").groupBy(F.col("to").alias("key")).agg(F.min("under").alias("implied"))
+    said = run.join(deeper, ["key", "level", "seq"]).where(_before("under.", "to.")).groupBy(F.col("to.key").alias("key")).agg(F.min("under").alias("u")).select("key", F.col("u.key").alias("implied"))
     parents = place.select("key").join(own, "key", "left").join(said, "key", "left").select("key", F.coalesce("reply_to", "implied").alias("reply_to"))
 
-    up = materialize(parents.select("key", "reply_to", F.coalesce("reply_to", "key").alias("root"), F.col("reply_to").isNotNull().cast("bigint").alias("depth")), "replies")
-    while True:
-        hop = up.select(F.col("key").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        nxt = materialize(up.join(hop, "root").select("key", "reply_to", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "replies")
-        if not nxt.where("moved").limit(1).count():
-            up = nxt.drop("moved")
+    up = materialize(parents.select("key", "reply_to", F.coalesce("reply_to", "key").alias("root"), F.col("reply_to").isNotNull().cast("bigint").alias("depth"), F.col("reply_to").isNull().alias("found")), "replies")
+    for _ in range(64):  # links lead strictly backwards, and paths double
+        if up.where("not found").isEmpty():
             break
-        up = materialize(nxt.drop("moved"), "replies")
+        hop = up.select(F.col("key").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("found").alias("last"))
+        moved = up.where("not found").join(hop, "root").select("key", "reply_to", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("last").alias("found"))
+        up = materialize(up.where("found").unionByName(moved), "replies")
     plain = text_map(base.select("key", "text"), "text string", lambda t: [(own_text(t),)], "key", "text")
-    return place.join(up, "key").join(plain, "key").select(F.col("thread").alias(thread_col), F.col("at").alias(order_col), "key", "reply_to", "root", "depth", "text")
+    out = base.select("key", "t", "o").join(up, "key").join(plain, "key")
+    return out.select(F.col("t").alias(thread_col), F.col("o").alias(order_col), "key", "reply_to", "root", "depth", "text")
 
 
 def conversations(links: DataFrame, thread_col: str = "conv_id", order_col: str = "turn") -> DataFrame:
@@ -121,9 +137,14 @@ def conversations(links: DataFrame, thread_col: str = "conv_id", order_col: str
     Sorted by root, depth and order, a conversation reads with every answer behind what it answers.
     """
     spot = links.select("key", F.col(thread_col).alias("t"), F.col(order_col).alias("o"))
+    # messages that answer nothing, of which there may be very many, need no join: they are their own root
+    alone = links.where("reply_to is null")
+    alone = alone.select(thread_col, order_col, *[F.lit(None).cast(links.schema[c].dataType).alias(n) for c, n in ((thread_col, "reply_thread"), (order_col, "reply_order"))],
+                         F.col(thread_col).alias("root_thread"), F.col(order_col).alias("root_order"), "depth", "text")
     to = spot.select(F.col("key").alias("reply_to"), F.col("t").alias("reply_thread"), F.col("o").alias("reply_order"))
     root = spot.select(F.col("key").alias("root"), F.col("t").alias("root_thread"), F.col("o").alias("root_order"))
-    return links.join(to, "reply_to", "left").join(root, "root").select(thread_col, order_col, "reply_thread", "reply_order", "root_thread", "root_order", "depth", "text")
+    answers = links.where("reply_to is not null").join(to, "reply_to").join(root, "root")
+    return answers.select(*alone.columns).unionByName(alone)
 
 
 def quoting(messages: DataFrame, thread_col: str = "conv_id", order_col: str = "turn", text_col: str = "text", reach: int = 2) -> DataFrame:
