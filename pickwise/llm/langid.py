@@ -103,10 +103,10 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], n_languages: int, s
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Model from rows with text and language. Rows of a language are sampled by a hash of id and text to about ``per_language``.
 
-    Null languages, null texts and texts without a letter teach nothing; with no row left nothing is learned.
+    Null languages, null texts and texts without a letter teach nothing; with no row left nothing is learned. Any id will do,
+    also none: the sample's order is that of the hash.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.pmod(F.xxhash64(text_col), F.lit(1 << 40))).alias("k"),
-                       F.xxhash64(F.col(id_col).cast("bigint"), text_col).alias("drawn"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("bigint"), text_col).alias("drawn"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
@@ -115,20 +115,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     code = F.create_map(*[x for i, l in enumerate(languages) for x in (F.lit(l), F.lit(i))])
     picked = rows.where(F.pmod("drawn", F.lit(1_000_000)) < share[F.col("l")] * 1_000_000)
 
-    def features(text):
+    def features(coded):
+        code, _, text = coded.partition(" ")
         if has_letter(text):
             total = np.zeros(BUCKETS)
             for raw in pieces(text):
                 total += np.bincount(grams(raw), minlength=BUCKETS)
             idx = np.flatnonzero(total)
-            yield idx.tolist(), (total[idx] / total.sum()).tolist()
+            yield int(code), idx.tolist(), (total[idx] / total.sum()).tolist()
 
-    # the language travels in the id, so the rows need no second join
-    keyed = picked.select((F.col("k") * len(languages) + code[F.col("l")]).alias("k"), "t")
-    got = text_map(keyed, "idx array<int>, share array<float>", features, "k", "t").toArrow().sort_by("k")
+    # the language travels before the text, so the rows need no second join
+    keyed = picked.select(F.col("drawn").alias("k"), F.concat(code[F.col("l")].cast("string"), F.lit(" "), "t").alias("t"))
+    got = text_map(keyed, "code int, idx array<int>, share array<float>", features, "k", "t").toArrow().sort_by([("k", "ascending"), ("code", "ascending")])
     idx, share_of = (got.column(c).combine_chunks() for c in ("idx", "share"))
     at, idx, share_of = idx.offsets.to_numpy(), idx.values.to_numpy(), share_of.values.to_numpy()
-    samples = [(idx[a:b], share_of[a:b], k % len(languages)) for k, a, b in zip(got.column("k").to_pylist(), at, at[1:])]
+    samples = [(idx[a:b], share_of[a:b], k) for k, a, b in zip(got.column("code").to_pylist(), at, at[1:])]
     if not samples:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     held = [s for i, s in enumerate(samples) if i % 5 == 0]
