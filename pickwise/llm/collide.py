@@ -80,7 +80,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
 
     Rows without id or label, and vectors that are null, empty, zero or hold null or non-finite components, link
     with nothing: no links, their own component, kept if they have an id. Vectors link only inside their label and length.
-    Equal vectors are compared once and counted each: rows that repeat count as vectors of their own.
+    Equal vectors are compared once and counted each: rows that repeat count as vectors of their own. Labels may be of any type
+    that can be grouped; they are numbered, and only equal ones meet (as in grouping, NaN equals NaN).
     """
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("x"))
     unfit = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -105,7 +106,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
                 hit = np.flatnonzero(found)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[a:b][hit]), pa.array(found[hit]), pa.array(rep[a:b][low[hit]])], names=["rep", "n", "low"])
 
-    keyed = sets.select("rep", "n", "x", "dim", F.col("label").cast("bigint").alias("k"))
+    numbered = materialize(sets.select("label").distinct().withColumn("k", F.monotonically_increasing_id()), "labels")
+    keyed = sets.join(numbered, "label").select("rep", "n", "x", "dim", "k")
     keys = ["k", "dim"]
     found = materialize(met(tiled(keyed, keys, "rep", TILE), keys).mapInArrow(run, "rep bigint, n bigint, low bigint"), "collisions")
     root = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
