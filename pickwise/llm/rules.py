@@ -153,17 +153,18 @@ def verdict(rules: list[Rule]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 20_000) -> list[Rule]:
     """Rules from at most ``max_labelled`` labelled rows, those with the smallest hash of their id.
 
-    Rows without a label are left out; an id whose labels differ counts as good. An empty table or one kind of
-    label gives no rule.
+    Rows without a label are left out; an id whose labels differ counts as good. Of texts that share an id the one with the
+    smallest counts teaches, so no id enters twice. An empty table or one kind of label gives no rule.
     """
     want = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("k")).agg(F.max(F.col(label_col)).alias("label")).where("label is not null")
     want = want.withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(max_labelled)
     exprs = features()
     base = docs.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).alias("t")).join(F.broadcast(want.select("k")), "k", "left_semi")
-    rows = with_stats(base, "k", "t").join(F.broadcast(want), "k").where(~base_failed()).select("h", "k", "label", *[e.alias(n) for n, e in exprs.items()]).toPandas()
+    names = list(exprs)
+    rows = with_stats(base, "k", "t").join(F.broadcast(want), "k").where(~base_failed()).select("h", "k", "label", *[e.alias(n) for n, e in exprs.items()])
+    rows = rows.groupBy("h", "k", "label").agg(F.min(F.struct(*names)).alias("x")).select("h", "k", "label", "x.*").toPandas()
     if not len(rows):
         return []
-    names = list(exprs)
     rows = rows.sort_values(["h", "k", *names], kind="stable")
     return learn(rows[names].to_numpy(float), rows["label"].to_numpy() == 0, names)
 
