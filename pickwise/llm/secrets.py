@@ -67,9 +67,11 @@ def with_candidates(docs: DataFrame, name: str, text_col: str = "text", path_col
     """
     cols = docs.columns
     words = free_name("words", [*cols, name])
+    keyed = free_name("keyed", [*cols, name, words])
     text = F.col(text_col)
     hit = text.rlike(LONG) | text.rlike(ASSIGNED) | text.rlike(BARE) | text.contains("PRIVATE KEY-----")
-    out = pin(docs.withColumn(words, F.when(hit, F.split(text, SPACE))), words)
+    # most texts hold no key word at all: what asks for one is then skipped for every word
+    out = pin(docs.withColumn(words, F.when(hit, F.split(text, SPACE))).withColumn(keyed, F.coalesce(hit & text.rlike(f"(?i){KEYWORD}"), F.lit(False))), words, keyed)
     path = F.lower(F.col(path_col).cast("string")) if path_col else F.lit(None).cast("string")
     w = F.col(words)
 
@@ -83,16 +85,16 @@ def with_candidates(docs: DataFrame, name: str, text_col: str = "text", path_col
         return word(i).rlike(key_inside) | word(i - 1).rlike(rf"(?i){KEYWORD}[\"']?[=:]$") | (word(i - 1).isin("=", ":") & word(i - 2).rlike(key_before))
 
     def key(i):
-        return assigned(i) | word(i - 1).rlike(key_before)
+        return F.col(keyed) & (assigned(i) | word(i - 1).rlike(key_before))
 
     def wanted(i):
-        return word(i).rlike(LONG) | (word(i).rlike(r"[^\s\"'=:]{6,}") & (assigned(i) | (key(i) & word(i).rlike("[0-9]"))))
+        return word(i).rlike(LONG) | (F.col(keyed) & word(i).rlike(r"[^\s\"'=:]{6,}") & (assigned(i) | (word(i - 1).rlike(key_before) & word(i).rlike("[0-9]"))))
 
     def build(i):
         bare = F.regexp_replace(word(i), key_inside, "")
         v = F.regexp_replace(bare, r"^[\"'`(\[{<#$%&*]+|[\"'`)\]}>.,;:!?#$%&*]+$", "")
         # a literal in quotes after a name that holds a key word and a sign of assignment
-        literal = bare.rlike(r"^[\"'][^\"']+[\"']") & (word(i).rlike(key_inside) | F.concat_ws(" ", word(i - 2), word(i - 1)).rlike(NAME_BEFORE))
+        literal = F.col(keyed) & bare.rlike(r"^[\"'][^\"']+[\"']") & (word(i).rlike(key_inside) | F.concat_ws(" ", word(i - 2), word(i - 1)).rlike(NAME_BEFORE))
         return F.struct(i.cast("int").alias("at"), v.alias("value"), F.concat_ws(" ", word(i - 2), word(i - 1)).alias("before"), word(i + 1).alias("after"), key(i).alias("key"), path.alias("path"), literal.alias("literal"))
 
     found = F.when(w.isNotNull(), F.transform(F.filter(F.sequence(F.lit(0), F.size(w) - 1), wanted), build))
@@ -164,7 +166,7 @@ def train(findings: DataFrame) -> list:
     if findings.select("label").distinct().count() < 2:
         return []
     x = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(findings)
-    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=5, featureSubsetStrategy="onethird").fit(x)
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=5, featureSubsetStrategy="onethird", minInstancesPerNode=2, minInfoGain=1e-3).fit(x)
     return [_tree([s for s in t.toDebugString.split("\n")[1:] if s.strip()]) for t in model.trees]
 
 
