@@ -1,25 +1,13 @@
 """Language-model scores by prediction by partial matching.
 
-``trie_score`` is the byte model: a trie of byte contexts, counted over all occurrences in the training rows, gives the
-probability of every byte of every text. A text is its words, a blank behind each and one end; contexts hold up to
-five bytes before, across words, and begin with a blank before the text. Escapes and exclusion are as in 3 below, and
-so the probabilities of all texts add up to one.
-
-``score`` is a model of words with that trie for unknown ones. Its text is a row of words and one end. Each word is coded by the longest context that knows it:
-
-1. the text itself (adaptive): the word that followed the last word before. How often this was right so far in
-   the text sets its share; a miss escapes, and the word predicted is excluded from what follows;
-2. the words of the training rows (pretrained): count / (total + singles + 1); an unknown word escapes with
-   (singles + 1) / (total + singles + 1);
-3. the trie of byte contexts: byte by byte, then a blank, in the context of up to five bytes before, back to and
-   with the blank before the word. A byte seen in the longest context costs count / (total + kinds); otherwise an
-   escape of kinds / (total + kinds) leads to the context one byte shorter, where symbols of the longer one are
-   excluded, and so on down to an even choice among bytes never seen. Counts are updated on escape only, that is
-   once for each different training word.
-
-The trie is a table of (order, context, byte, count). The cost of a word in 2 and 3 doesn't depend on the text, so it
-is worked out once for all texts. Frequent words and byte contexts are kept in tables of a fixed size in the
-tasks; all others go through joins, so nothing unbounded is broadcast.
+A trie of byte contexts, counted over all occurrences in the training rows, gives the probability of every byte of every
+text. A text is its words, a blank behind each and one end; contexts hold up to five bytes before, across words, and
+begin with a blank before the text. A byte seen n times in the longest known context costs (2n - 1) / 2t of the context's
+t; otherwise an escape of kinds / 2t leads to the context one byte shorter, where symbols of the longer one are excluded,
+and so on down to an even choice among bytes never seen. So the probabilities of all texts add up to one.
+
+The trie is a table of (order, context, byte, count). Frequent words and byte contexts are kept in tables of a fixed size
+in the tasks; all others go through joins, so nothing unbounded is broadcast.
 """
 from __future__ import annotations
 
@@ -33,23 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from pickwise.session import materialize
 
 ORDER, BASE = 5, 257
-HEAD_WORDS, HEAD_GRAMS, FLUSH = 200_000, 1 << 17, 200_000
+HEAD_WORDS, FLUSH = 200_000, 200_000
 HEAD_BYTES, CHUNK = 1 << 19, 1 << 20
-END = ((ord(" ") + 1) * 256) + ord("\n")  # the end of a text, after a blank
-
-
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, word index) of every byte of the words and the blank behind each; gram = context * 256 + byte."""
-    line = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
-    blank = np.flatnonzero(line == 32)
-    word = np.repeat(np.arange(len(words)), np.diff(blank))
-    at = np.arange(1, len(line))
-    start = blank[word]
-    context = np.zeros(len(at), np.int64)
-    for o in range(1, ORDER + 1):
-        inside = at - o >= start
-        context += np.where(inside, line[np.maximum(at - o, 0)] + 1, 0) * BASE ** (o - 1)
-    return context * 256 + line[1:], word
 
 
 def _count_words(docs: DataFrame) -> DataFrame:
@@ -79,33 +52,6 @@ def _count_words(docs: DataFrame) -> DataFrame:
     return materialize(part.groupBy("word").agg(F.sum("c").alias("c")), "words")
 
 
-def _batches_of_words(batches, columns, size=FLUSH):
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for b in batches:
-        held.append(b)
-        rows += b.num_rows
-        if rows >= size:
-            yield pa.Table.from_batches(held).select(columns)
-            held, rows = [], 0
-    if rows:
-        yield pa.Table.from_batches(held).select(columns)
-
-
-def _count_grams(words: DataFrame, n_texts: int) -> DataFrame:
-    """(gram, n) with the longest contexts; 0 for grams of words outside the training rows."""
-    def run(batches):
-        for t in _batches_of_words(batches, ["word", "c"]):
-            g, w = grams(t.column("word").to_pylist())
-            kinds, inverse = np.unique(g, return_inverse=True)
-            n = np.bincount(inverse, weights=(t.column("c").to_numpy() > 0)[w].astype(float), minlength=len(kinds))
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-    ends = words.sparkSession.range(1).select(F.lit(END).cast("bigint").alias("gram"), F.lit(min(n_texts, 1)).cast("bigint").alias("n"))
-    part = words.mapInArrow(run, "gram bigint, n bigint").unionByName(ends)
-    return materialize(part.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-
-
 def _log(x):
     return F.log10(x.cast("double"))
 
@@ -124,16 +70,19 @@ def _gram_costs(counted: DataFrame) -> DataFrame:
     above = nodes.select((F.col("o") + 1).alias("o"), F.col("ctx").alias("up"), F.col("t").alias("t_up"), F.col("k").alias("k_up"))
     rest, kinds = F.col("t_up") - F.col("gone"), F.col("k_up") - F.col("k")
     nodes = nodes.join(above, ["o", "up"], "left").select(
-        "o", "ctx", "k", _log(F.col("t") + F.col("k")).alias("whole"), (_log(F.col("k")) - _log(F.col("t") + F.col("k"))).alias("escape"),
-        F.when(rest + kinds > 0, _log(rest + kinds)).alias("rest"), F.when(kinds > 0, _log(kinds) - _log(rest + kinds)).otherwise(0.0).alias("escape_up"))
+        "o", "ctx", "k", _log(2 * F.col("t")).alias("whole"), (_log(F.col("k")) - _log(2 * F.col("t"))).alias("escape"),
+        F.when(rest > 0, _log(2 * rest)).alias("rest"), F.when(kinds > 0, _log(kinds) - _log(2 * rest)).otherwise(0.0).alias("escape_up"))
     nodes = materialize(nodes, "escapes")
 
     full = counted.select("gram", "n", (F.col("gram") / 256).cast("bigint").alias("ctx"))
-    seen = full.where("n > 0").join(nodes.where(F.col("o") == ORDER).select("ctx", "whole"), "ctx").select("gram", "n", (_log(F.col("n")) - F.col("whole")).alias("lp"))
+    seen = full.where("n > 0").join(nodes.where(F.col("o") == ORDER).select("ctx", "whole"), "ctx").select("gram", "n", (_log(2 * F.col("n") - 1) - F.col("whole")).alias("lp"))
 
     asked = full.where("n = 0").select("gram", (F.col("gram") % 256).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("o"), F.col("ctx").alias("full"))
     asked = asked.withColumn("ctx", F.pmod("full", F.get(powers, cut))).drop("full")
-    found = asked.join(nodes, ["o", "ctx"], "left").join(edges.select("o", "ctx", "s", "n"), ["o", "ctx", "s"], "left")
+    # contexts of no or one byte are asked for by every gram, but there are at most 258 of them with 256 bytes each: they go to the rows
+    low = F.col("o") <= 1
+    few = asked.where(low).join(F.broadcast(nodes.where(low)), ["o", "ctx"], "left").join(F.broadcast(edges.where(low).select("o", "ctx", "s", "n")), ["o", "ctx", "s"], "left")
+    found = asked.where(~low).join(nodes.where(~low), ["o", "ctx"], "left").join(edges.where(~low).select("o", "ctx", "s", "n"), ["o", "ctx", "s"], "left").unionByName(few)
     names = ("n", "k", "whole", "escape", "rest", "escape_up")
     wide = found.groupBy("gram").agg(*[F.max(F.when(cut == o, F.col(c))).alias(f"{c}_{o}") for o in range(ORDER + 1) for c in names])
     even = _log(256 - F.coalesce("k_0", F.lit(0)))
@@ -142,8 +91,8 @@ def _gram_costs(counted: DataFrame) -> DataFrame:
         cost = F.col(f"escape_{top}") + sum((F.col(f"escape_up_{o}") for o in range(1, top + 1)), F.lit(0.0)) - even
         for f in range(top):  # the longest one of them in which the byte was seen
             cost = F.when(F.col(f"n_{f}").isNotNull(), F.col(f"escape_{top}") + sum((F.col(f"escape_up_{o}") for o in range(f + 2, top + 1)), F.lit(0.0))
-                          + _log(F.col(f"n_{f}")) - F.col(f"rest_{f + 1}")).otherwise(cost)
-        cost = F.when(F.col(f"n_{top}").isNotNull(), _log(F.col(f"n_{top}")) - F.col(f"whole_{top}")).otherwise(cost)
+                          + _log(2 * F.col(f"n_{f}") - 1) - F.col(f"rest_{f + 1}")).otherwise(cost)
+        cost = F.when(F.col(f"n_{top}").isNotNull(), _log(2 * F.col(f"n_{top}") - 1) - F.col(f"whole_{top}")).otherwise(cost)
         lp = F.when(F.col(f"k_{top}").isNotNull(), cost).otherwise(lp)
     return materialize(seen.unionByName(wide.select("gram", F.lit(0).cast("bigint").alias("n"), lp.alias("lp"))), "costs")
 
@@ -160,114 +109,6 @@ def _head(df: DataFrame, count: str, most: int) -> DataFrame:
     return df.where(F.col(count) > 0).where(bin_ >= least) if least is not None else df.limit(0)
 
 
-def _word_costs(words: DataFrame, costs: DataFrame, total: int, escape: int) -> DataFrame:
-    """(word, c, lp) for every word: from its count, or for an unknown one from the escape and its bytes."""
-    whole = float(np.log10(total + escape))
-    known_words = words.where("c > 0").select("word", "c", (F.log10(F.col("c").cast("double")) - whole).alias("lp"))
-    words = words.where("c = 0")
-    head = _head(costs, "n", HEAD_GRAMS).select("gram", "lp").toArrow().sort_by("gram")
-    shared = words.sparkSession.sparkContext.broadcast((head.column("gram").to_numpy(), head.column("lp").to_numpy()))
-
-    def run(batches):
-        known, cost = shared.value
-        for t in _batches_of_words(batches, ["word", "c"]):
-            g, w = grams(t.column("word").to_pylist())
-            at = np.minimum(np.searchsorted(known, g), max(0, len(known) - 1))
-            hit = known[at] == g if len(known) else np.zeros(len(g), bool)
-            lp = np.bincount(w, weights=np.where(hit, cost[at] if len(known) else 0.0, 0.0), minlength=t.num_rows)
-            miss = np.bincount(w[~hit], minlength=t.num_rows)
-            rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(miss))), pa.int32()), pa.array(g[~hit]))
-            yield pa.RecordBatch.from_arrays([t.column("word").combine_chunks(), t.column("c").combine_chunks(), pa.array(lp), rest], names=["word", "c", "lp", "rest"])
-
-    part = materialize(words.mapInArrow(run, "word binary, c bigint, lp double, rest array<bigint>"), "word-parts")
-    more = part.select("word", F.explode("rest").alias("gram")).join(costs.select("gram", F.col("lp").alias("more")), "gram").groupBy("word").agg(F.sum("more").alias("more"))
-    unknown = part.select("word", "c", "lp").join(more, "word", "left")
-    unknown = unknown.select("word", "c", (F.col("lp") + F.coalesce("more", F.lit(0.0)) + float(np.log10(escape)) - whole).alias("lp"))
-    return materialize(known_words.unionByName(unknown), "word-costs")
-
-
-def coded(words: list[bytes], exclude: dict[bytes, float]) -> tuple[float, dict[bytes, int]]:
-    """(log10 cost in the text's own contexts, words left to the training words with their counts)."""
-    follow: dict[bytes, bytes] = {}
-    left: dict[bytes, int] = {}
-    cost, hits, tries, last = 0.0, 0.1, 1.0, b""
-    for w in words:
-        guess = follow.get(last)
-        if guess is not None:
-            if guess == w:
-                cost += log10(hits / tries)
-                hits += 1.0
-                tries += 1.0
-                last = w
-                continue
-            cost += log10(1.0 - hits / tries) - exclude.get(guess, 0.0)
-            tries += 1.0
-        follow[last] = w
-        left[w] = left.get(w, 0) + 1
-        last = w
-    return cost, left
-
-
-def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) for every row, learning from the rows where ``train`` holds.
-
-    ``base_score``: add-one unigram model of the tokens; ``score``: log10 probability under the model. Null text
-    counts as empty (one token, the end). Rows that repeat are scored each; where ``train`` is null a row is not
-    learned from. Without training rows every byte costs log10(256).
-    """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    n_texts = rows.where("train").count()
-    words = _count_words(rows)
-    total = words.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") > 0, 1)).alias("v"), F.sum(F.when(F.col("c") == 1, 1)).alias("one")).first()
-    n, v, escape = (total["n"] or 0) + n_texts, (total["v"] or 0) + (n_texts > 0), (total["one"] or 0) + (n_texts == 1) + 1
-    costs = _gram_costs(_count_grams(words, n_texts))
-    worth = _word_costs(words, costs, n, escape)
-    head = _head(worth, "c", HEAD_WORDS).toArrow()
-    frequent = {w: (log10(c + 1), lp) for w, c, lp in zip(*(head.column(k).to_pylist() for k in ("word", "c", "lp")))}
-    exclude = {w: log10(1 - 10**lp) for w, (_, lp) in frequent.items() if lp > -4}
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, exclude))
-    end_known, end_base = int(n_texts > 0), log10(n_texts + 1)
-    end_lp = log10(n_texts / (n + escape)) if n_texts else costs.where(F.col("gram") == END).first()["lp"]
-
-    def run(batches):
-        known, without = shared.value
-        for b in batches:
-            n_tokens, n_known, base, lps, rest, times, left_times, ends = [], [], [], [], [], [], [], [0]
-            for text in b.column(1).to_pylist():
-                all_words = (text or "").encode().lower().split()
-                cost, left = coded(all_words, without)
-                k, s, p = end_known, end_base, end_lp + cost
-                for w, tf in Counter(all_words).items():
-                    e = known.get(w)
-                    if e is None:
-                        rest.append(w)
-                        times.append(tf)
-                        left_times.append(left[w])
-                    else:
-                        k += tf
-                        s += tf * e[0]
-                        p += left[w] * e[1]
-                n_tokens.append(len(all_words) + 1)
-                n_known.append(k)
-                base.append(s)
-                lps.append(p)
-                ends.append(len(rest))
-            at = pa.array(ends, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(lps, pa.float64()),
-                 *(pa.ListArray.from_arrays(at, pa.array(c, t)) for c, t in ((rest, pa.binary()), (times, pa.int32()), (left_times, pa.int32())))],
-                names=["id", "n_tokens", "n_known", "base", "lp", "rest", "times", "left"])
-
-    part = rows.select("id", "text").mapInArrow(run, "id bigint, n_tokens bigint, n_known bigint, base double, lp double, rest array<binary>, times array<int>, left array<int>")
-    part = materialize(part.withColumn("row", F.monotonically_increasing_id()), "texts")
-    rare = part.select("row", F.inline(F.arrays_zip(F.col("rest").alias("word"), F.col("times").alias("tf"), F.col("left").alias("left")))).join(worth, "word")
-    more = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("b"), F.sum(F.col("left") * F.col("lp")).alias("p"))
-    whole = log10(n + v + 1)
-    return part.drop("rest", "times", "left").join(more, "row", "left").select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"), (F.col("lp") + F.coalesce("p", F.lit(0.0))).alias("score"))
-
-
 def text_grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """(gram, text index) of every byte of the texts' words, the blank behind each word and the end."""
     lines = [b" " + b"".join(w + b" " for w in words) + b"\n" for words in texts]
@@ -338,8 +179,9 @@ def _count_text_grams(rows: DataFrame) -> DataFrame:
 def trie_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for every row, learning from the rows where ``train`` holds.
 
-    ``score``: log10 probability of the text's bytes under the trie; the other columns as in ``score()``. Without
-    training rows every byte costs log10(256).
+    ``base_score``: add-one unigram model of the tokens; ``score``: log10 probability of the text's bytes under the trie. Null
+    text counts as empty (one token, the end). Rows that repeat are scored each, also those without an id; where ``train`` is
+    null a row is not learned from. Without training rows every byte costs log10(256).
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     n_texts = rows.where("train").count()
