@@ -5,7 +5,7 @@ no shuffle. Only page positions and retrieved examples arrive by a join on the d
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,22 +17,18 @@ from .rules import let
 # Attributes shown in candidate lists, in order, and prefixes that are noise.
 LIST_ATTRS = ("id", "name", "type", "role", "aria-label", "aria-labelledby", "aria-describedby", "aria-expanded", "aria-selected",
               "aria-checked", "placeholder", "value", "href", "for", "required", "disabled", "label", "options")
-LIST_ATTRS_COMPACT = ("type", "name", "aria-label", "placeholder", "label", "options", "role")
 NOISE_PREFIXES = ("class", "style", "data-react", "data-v-", "data-test", "xpath", "jsname", "jsaction", "jscontroller",
                   "data-analytics", "tabindex", "data_", "data-ga", "data-track")
 TEXT_FALLBACK = ("aria-label", "placeholder", "title", "role", "name")
 
-# Sentence formats of the reasoning texts (task, place, element, contrast / value).
+# Sentences of the reasoning texts, default parameters: 1 the goal, 2 the element, 3 its place, 4 the contrast, 5 the value.
 REASON = {
-    "CLICK": "To '%s',%s I need to CLICK %s%s.",
-    "TYPE": "For '%s',%s I will TYPE '%s' into %s%s.",
-    "SELECT": "To fulfill '%s',%s I must SELECT '%s' using %s%s.",
-}
-REASON_EARLY = {
-    "CLICK": "The task requires a click action. %s matches the target.",
-    "TYPE": "The task requires typing '%s'. %s is the input field.",
-    "SELECT": "The task requires selecting '%s'. %s has matching options.",
+    "CLICK": "Goal \"%1$s\": a click belongs on %2$s%3$s%4$s.",
+    "TYPE": "Goal \"%1$s\": the text '%5$s' goes into %2$s%3$s%4$s.",
+    "SELECT": "Goal \"%1$s\": '%5$s' is an option of %2$s%3$s%4$s.",
 }
+REASON_EARLY = {"CLICK": "Clicking %2$s moves the task on.", "TYPE": "%2$s takes the text '%5$s'.", "SELECT": "%2$s offers '%5$s'."}
+PLACE, CONTRAST = " inside %1$s", "; number %1$s has the same tag and fits less"
 
 # Prompt wording. Every part is a parameter; braces are filled per row.
 ROLE = "You operate a web page. Choose the next action that moves the task forward."
@@ -59,7 +55,7 @@ def _key_parts(pairs: Column, compact: bool) -> Column:
     def listed(keys) -> Column:
         return F.filter(F.array(*[F.struct(F.lit(k).alias("k"), ps.pair(pairs, k).alias("v")) for k in keys]), lambda s: s["v"] != "")
 
-    shown = F.transform(listed(LIST_ATTRS_COMPACT if compact else LIST_ATTRS), lambda s: F.concat(s["k"], F.lit("="), F.substring(s["v"], 1, 60)))
+    shown = F.transform(listed(dom.LIST_ATTRS_COMPACT if compact else LIST_ATTRS), lambda s: F.concat(s["k"], F.lit("="), F.substring(s["v"], 1, 60)))
     if compact:
         return shown
     known = F.array(*map(F.lit, LIST_ATTRS))
@@ -158,26 +154,26 @@ def build_prompt(df: DataFrame, cands: str = "cands", examples: DataFrame | None
     return d.withColumn("prompt", prompt).drop("_w", "_kind", *(["examples"] if examples is not None else []), *(["tree"] if tree is not None else []))
 
 
-def reasoning(task: Column, op: Column, choice: Column, c: Column, value: Column, cands: Column, place: Column | None = None) -> Column:
+def _sentence(op: Column, sentences: Mapping[str, str], goal: Column, element: Column, place: Column, contrast: Column, value: Column) -> Column:
+    said = {k: F.format_string(v, goal, element, place, contrast, value) for k, v in sentences.items()}
+    return F.when(op == "CLICK", said["CLICK"]).when(op == "TYPE", said["TYPE"]).otherwise(said["SELECT"])
+
+
+def reasoning(task: Column, op: Column, choice: Column, c: Column, value: Column, cands: Column, place: Column | None = None,
+              sentences: Mapping[str, str] = REASON, placed: str = PLACE, contrasted: str = CONTRAST) -> Column:
     """Reasoning sentence, at most 200 characters. `choice` is 1-based, `place` a location hint."""
-    label = label_of(c)
     other = F.try_element_at(F.filter(F.transform(cands, lambda x, i: F.when((i + 1 != choice) & (tx.text(x["tag"]) == tx.text(c["tag"])), i + 1)), lambda n: n.isNotNull()), F.lit(1))
-    contrast = F.coalesce(F.concat(F.lit(" (choosing this over El."), other.cast("string"), F.lit(" due to closer task relevance)")), F.lit(""))
-    el = F.concat(F.lit("element ["), choice.cast("string"), F.lit("] <"), tx.text(c["tag"]), F.lit("> '"), F.substring(label, 1, 20), F.lit("'"))
-    goal = F.substring(clean(task), 1, 40)
-    where = F.lit("") if place is None else F.when(tx.text(place) != "", F.concat(F.lit(" located under "), place, F.lit(","))).otherwise("")
-    v = F.substring(value, 1, 20)
-    text = (F.when(op == "CLICK", F.format_string(REASON["CLICK"], goal, where, el, contrast))
-            .when(op == "TYPE", F.format_string(REASON["TYPE"], goal, where, v, el, contrast)).otherwise(F.format_string(REASON["SELECT"], goal, where, v, el, contrast)))
-    return F.substring(text, 1, 200)
+    contrast = F.when(other.isNotNull(), F.format_string(contrasted, other.cast("string"))).otherwise("")
+    element = F.concat(tx.text(c["tag"]), F.lit(" number "), choice.cast("string"), F.lit(" ("), F.substring(label_of(c), 1, 20), F.lit(")"))
+    where = F.lit("") if place is None else F.when(tx.text(place) != "", F.format_string(placed, tx.text(place))).otherwise("")
+    return F.substring(_sentence(op, sentences, F.substring(clean(task), 1, 40), element, where, contrast, F.substring(value, 1, 20)), 1, 200)
 
 
-def reasoning_early(op: Column, choice: Column, c: Column, value: Column) -> Column:
+def reasoning_early(op: Column, choice: Column, c: Column, value: Column, sentences: Mapping[str, str] = REASON_EARLY) -> Column:
     label = label_of(c)
-    desc = F.concat(F.lit("Element "), choice.cast("string"), F.lit(" ("), tx.text(c["tag"]), F.when(label != "", F.concat(F.lit(": "), F.substring(label, 1, 40))).otherwise(""), F.lit(")"))
-    v = F.substring(value, 1, 30)
-    return (F.when(op == "CLICK", F.format_string(REASON_EARLY["CLICK"], desc)).when(op == "TYPE", F.format_string(REASON_EARLY["TYPE"], v, desc))
-            .otherwise(F.format_string(REASON_EARLY["SELECT"], v, desc)))
+    element = F.concat(F.lit("Number "), choice.cast("string"), F.lit(", "), tx.text(c["tag"]), F.when(label != "", F.concat(F.lit(" "), F.substring(label, 1, 40))).otherwise(""))
+    none = F.lit("")
+    return _sentence(op, sentences, none, element, none, none, F.substring(value, 1, 30))
 
 
 def label_of(c: Column) -> Column:
@@ -206,30 +202,19 @@ def is_false_negative(a: Column, b: Column) -> Column:
     return (a["candidate_id"] == b["candidate_id"]) | same("text") | same("label") | same("aria") | (same("name") & same("placeholder"))
 
 
-def page_places(df: DataFrame, key: str = "id") -> DataFrame:
-    """(id, places): array<struct<cand_pos,path>> of the candidates found in the decision's page."""
-    from .rows import explode_candidates
-
-    stream = dom.tag_stream(df, key, "cleaned_html", void_leaf=True)
-    matched = dom.match_elements(explode_candidates(df, False), stream, key)
-    paths = dom.with_paths(dom.nodes(stream), matched, key)
-    return matched.join(paths, [key, "pos"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("cand_pos", "path"))).alias("places"))
-
-
 def path_at(places: Column, pos: Column) -> Column:
     return F.try_element_at(F.filter(places, lambda p: p["cand_pos"] == pos), F.lit(1))["path"]
 
 
-def hard_negative(df: DataFrame, places: DataFrame | None = None, score: Callable[[Column], Column] | None = None) -> DataFrame:
+def hard_negative(df: DataFrame, score: Callable[[Column], Column] | None = None) -> DataFrame:
     """Adds `neg_pos` (0-based) and `neg_score`: the most tempting wrong candidate.
 
     Look-alikes of the target are left out unless nothing else remains. Score = nearness in the page
     (up to 1) + 0.5 for the same parent + 1.5 × rank share by relevance + 0.2 for the same tag; the
-    first one wins ties. Null when the target is absent or alone.
+    first one wins ties. Null when the target is absent or alone. The page counts if `df` has `places` (see `dom.with_places`).
     """
+    placed = "places" in df.columns
     d = pin(rl.with_fields(df).withColumn("_tp", rk.target_pos()), "_tp")
-    if places is not None:
-        d = d.join(places, "id", "left")
     d = pin(d.withColumn("_t", F.try_element_at("cf", F.col("_tp") + 1)), "_t")
     score = score or (lambda f: rl.match_score(f, F.col("tl"), F.col("tw")))
     t = F.col("_t")
@@ -239,7 +224,7 @@ def hard_negative(df: DataFrame, places: DataFrame | None = None, score: Callabl
     pool = F.when(F.size("_k") > 0, F.col("_k")).otherwise(F.col("_o"))
     d = d.withColumn("_o", F.transform(pool, lambda o: F.struct(o["i"].alias("i"), o["f"]["tag"].alias("tag"), F.round(score(o["f"]), 9).alias("s"))))
     d = pin(d, "_o")
-    if places is not None:
+    if placed:
         d = pin(d.withColumn("_tpath", path_at(F.col("places"), F.col("_tp"))), "_tpath")
 
         def near(o: Column) -> Column:
@@ -259,7 +244,7 @@ def hard_negative(df: DataFrame, places: DataFrame | None = None, score: Callabl
         return F.round(near(o) + 1.5 * (n - ahead) / n + F.when(o["tag"] == t["tag"], 0.2).otherwise(0.0), 9)
 
     best = F.array_max(F.transform(o_, lambda o: F.struct(total(o).alias("s"), (-o["i"]).alias("i"))))
-    return pin(d.withColumn("_b", best), "_b").select(*df.columns, *(["places"] if places is not None else []), (-F.col("_b.i")).alias("neg_pos"), F.col("_b.s").alias("neg_score"))
+    return pin(d.withColumn("_b", best), "_b").select(*df.columns, (-F.col("_b.i")).alias("neg_pos"), F.col("_b.s").alias("neg_score"))
 
 
 # ---------------------------------------------------------------- augmentation
@@ -298,26 +283,26 @@ def corrupt_op(op: Column, value: Column, key: Column, p: float = 0.33, seed: in
 
 # ---------------------------------------------------------------- corpus
 
-def build_corpus(df: DataFrame, mode: str = "preference", places: DataFrame | None = None, examples: DataFrame | None = None, shuffle_n: int = 1,
+def build_corpus(df: DataFrame, mode: str = "preference", examples: DataFrame | None = None, shuffle_n: int = 1,
                  realweb_mult: int = 3, compact: bool = False, p_corrupt: float = 0.33, seed: int = 42) -> DataFrame:
     """Training records (id, aug, html_type, prompt, chosen, rejected) or (…, instruction, input, output).
 
     aug 0 is the original order, the others are shuffled copies. Decisions whose target is absent, and
-    in preference mode those without a wrong candidate, give no record; `skipped` counts them.
+    in preference mode those without a wrong candidate, give no record; `skipped` counts them. With `places` in `df` the page
+    takes part in the choice of the wrong candidate and in the reasons.
     """
-    d = df.filter(F.exists("cands", lambda c: c["candidate_id"] == F.col("target_id"))).withColumn("html_type", ps.html_type("cleaned_html"))
+    placed = "places" in df.columns
+    d = df.drop("els").filter(F.exists("cands", lambda c: c["candidate_id"] == F.col("target_id"))).withColumn("html_type", ps.html_type("cleaned_html"))
     d = d.withColumn("value", F.when(F.col("op") == "CLICK", "").otherwise(tx.text("value")))
     pref = mode == "preference"
     if pref:
         # The wrong answer is chosen once and kept through all shuffles. It exists as soon as there is a
         # second candidate; testing that instead of the result keeps the scoring out of the filter.
-        d = hard_negative(d.filter(F.size("cands") > 1), places)
+        d = hard_negative(d.filter(F.size("cands") > 1))
         d = d.withColumn("neg_id", F.element_at("cands", F.col("neg_pos") + 1)["candidate_id"])
         d = d.withColumn("bad", corrupt_op(F.col("op"), F.col("value"), F.col("id"), p_corrupt, seed)).drop("neg_pos", "neg_score")
-    elif places is not None:
-        d = d.join(places, "id", "left")
     hints = F.expr("cast(array() as array<struct<candidate_id:string,hint:string>>)")
-    if places is not None:
+    if placed:
         ids = F.col("cands")
         hints = F.coalesce(F.transform("places", lambda p: F.struct(F.element_at(ids, p["cand_pos"] + 1)["candidate_id"].alias("candidate_id"), dom.location_hint(p["path"]).alias("hint"))), hints)
     d = pin(d.withColumn("_hints", hints), "_hints")

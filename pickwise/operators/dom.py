@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import parse as ps, text as tx
 from ..functions.parse import first_filled
-from ..session import stack
+from ..session import pin, stack
 
 # Shape of one tag with the text behind it, tags without content, context containers.
 TAG = r"<(/?)([\p{L}\p{N}_]+)([^>]*)>([^<]*)"
@@ -223,6 +223,73 @@ def element_context(matched: DataFrame, stream: DataFrame, key: str = "id") -> D
     return d.select(*who, F.concat_ws(" | ", *parts).alias("context"))
 
 
+# ---------------------------------------------------------------- one table of elements
+
+def page_elements(pages: DataFrame, key: str = "page_id", html: str = "html", limit: int = 60) -> DataFrame:
+    """(key, els): the open tags of a page in order, as nested intervals, in one row per page.
+
+    An element holds the elements and texts whose position lies between its own and its `leave`, so ancestors, containment
+    and distance are tests on numbers inside the row. `inner` is the first `limit` characters of its text. One exchange.
+    """
+    d = tag_stream(pages, key, html, void_leaf=True)
+    a = F.col("attrs")
+    # a text behind a close tag belongs to what is still open there; one behind a leaf to nothing
+    held = (F.col("text") != "") & (F.col("closes") & (F.col("depth") > 0) | (F.col("step") == 1))
+    line = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_t", F.when(held, F.col("text"))).withColumn("_n", F.count("_t").over(line) - F.col("_t").isNotNull().cast("int"))
+    # at one depth an open tag is followed by its own close tag
+    level = Window.partitionBy(key, "depth", F.col("step") == 0).orderBy("pos")
+    d = d.withColumn("leave", F.when(F.col("step") == 0, F.col("pos") + 1).otherwise(F.lead("pos").over(level))).withColumn("_end", F.lead("_n").over(level))
+    role = html_attr(a, "role")
+    el = F.struct("pos", "depth", F.coalesce("leave", F.lit(2**31 - 1)).alias("leave"), "tag", html_attr(a, "id").alias("id"), html_attr(a, "name").alias("name"), html_attr(a, "placeholder").alias("placeholder"),
+                  html_attr(a, "aria-label").alias("aria"), role.alias("role"), F.substring(html_attr(a, "class"), 1, 30).alias("cls"), F.col("_n").alias("from"), F.when(F.col("step") == 0, F.col("_n")).otherwise(F.col("_end")).alias("to"))
+    rows = d.groupBy(key).agg(F.array_sort(F.collect_list(F.when(~F.col("closes"), el))).alias("els"), F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("pos", "_t")))).alias("_texts"))
+    rows = pin(rows.withColumn("_texts", F.transform("_texts", lambda t: t["_t"])), "els", "_texts")
+
+    def whole(e: Column) -> Column:
+        n = F.coalesce(e["to"].cast("int"), F.size("_texts")) - e["from"].cast("int")
+        inner = F.substring(F.array_join(F.slice("_texts", e["from"].cast("int") + 1, F.least(n, F.lit(limit))), ""), 1, limit)
+        return F.struct(*[e[c].alias(c) for c in ("pos", "depth", "leave", "tag", "id", "name", "placeholder", "aria", "role", "cls")], inner.alias("inner"))
+
+    return pin(rows.select(key, F.transform("els", whole).alias("els")), "els")
+
+
+def path_of(els: Column, pos: Column) -> Column:
+    """Ancestors of the element at `pos`, outermost first, then itself: array<struct<level,pos,tag,hint>>."""
+    here = F.filter(els, lambda e: (e["pos"] <= pos) & ((e["pos"] == pos) | (e["leave"] > pos)))
+    return F.transform(here, lambda e: F.struct(e["depth"].alias("level"), e["pos"].alias("pos"), e["tag"].alias("tag"), first_filled(e["id"], e["aria"], e["role"]).alias("hint")))
+
+
+def element_of(els: Column, c: Column) -> Column:
+    """Position of the page element of a candidate struct (tag, begin of the text, id, name, placeholder, aria), by the rule of `match_elements`."""
+    same = lambda a, b: (b != "") & (a == b)
+
+    def rank(e: Column) -> Column:
+        trust = F.when(same(e["id"], c["id"]), 0).when(same(e["name"], c["name"]), 1).when(same(e["placeholder"], c["placeholder"]), 2).when(same(e["aria"], c["aria"]), 3).when(same(e["inner"], c["text"]), 9)
+        return F.struct(trust.alias("trust"), e["pos"].alias("pos"))
+
+    found = F.filter(F.transform(F.filter(els, lambda e: e["tag"] == c["tag"]), rank), lambda m: m["trust"].isNotNull())
+    return F.array_min(found)["pos"]
+
+
+def with_places(df: DataFrame, key: str = "id", html: str = "cleaned_html") -> DataFrame:
+    """Adds `places`, array<struct<cand_pos,path>> of the candidates found in the decision's page, and the page's `els`.
+
+    Equal pages are taken apart once, however many decisions show them; the elements then go to the decisions, and everything
+    else is done in their rows.
+    """
+    d = df.withColumn("_page", F.md5(tx.text(html)))
+    pages = d.groupBy("_page").agg(F.first(html).alias("_html"))
+    d = d.join(page_elements(pages, "_page", "_html"), "_page", "left").drop("_page")
+    known = F.transform("cands", lambda c, i: F.element_at(F.transform(F.array(ps.attr_pairs(c["attrs"])), lambda p: F.struct(
+        i.cast("int").alias("cand_pos"), c["tag"].alias("tag"), F.substring(tx.strip(tx.text(c["text"])), 1, 60).alias("text"), *[ps.pair(p, k).alias(n) for k, n in zip(MATCH_KEYS, ("id", "name", "placeholder", "aria"))])), 1))
+    d = pin(d.withColumn("_c", known), "_c")
+    at = F.transform("_c", lambda c: F.struct(c["cand_pos"].alias("cand_pos"), element_of(F.col("els"), c).alias("pos")))
+    d = pin(d.withColumn("_at", F.filter(at, lambda m: m["pos"].isNotNull())), "_at")
+    places = F.transform("_at", lambda m: F.struct(m["cand_pos"].alias("cand_pos"), path_of(F.col("els"), m["pos"]).alias("path")))
+    return pin(d.withColumn("places", F.coalesce(places, F.filter(F.array(F.struct(F.lit(0).alias("cand_pos"), path_of(F.col("els"), F.lit(0)).alias("path"))), lambda x: F.lit(False)))), "places").drop("_c", "_at")
+
+
 def clean_html(pages: DataFrame, key: str = "page_id", html: str = "html", keep: Sequence[str] = KEPT_ATTRS) -> DataFrame:
     """Pages without script and style blocks; tags keep only the listed attributes. Stays inside the row."""
     bare = ps.drop_script_style(html)
@@ -246,43 +313,42 @@ def strip_scripts(pages: DataFrame, key: str = "page_id", html: str = "html") ->
 
 # ---------------------------------------------------------------- tree list of candidates
 
+# Attributes shown for a candidate, in full and short lists.
 TREE_ATTRS = ("id", "name", "type", "role", "aria-label", "placeholder", "value", "href", "for", "label", "options")
-TREE_ATTRS_COMPACT = ("type", "name", "aria-label", "placeholder", "label", "options", "role")
+LIST_ATTRS_COMPACT = ("type", "name", "aria-label", "placeholder", "label", "options", "role")
 
 
-def format_tree(cand: DataFrame, stream: DataFrame, key: str = "id", compact: bool = False) -> DataFrame:
-    """Indented list of the matched candidates below their ancestors, one text per page.
+def format_tree(df: DataFrame, key: str = "id", compact: bool = False) -> DataFrame:
+    """(key, tree): indented list of the matched candidates below their ancestors, one text per decision with any.
 
-    Lines come in page order; an ancestor shows tag, id, class and role, a candidate its number and attributes.
+    ``df`` has cands, places and els (see `with_places`). Lines come in page order; an ancestor shows tag, id, class and role, a
+    candidate its number and attributes; of candidates at one element the first one shows.
     """
-    n = nodes(stream)
-    matched = match_elements(cand, stream, key)
-    paths = with_paths(n, matched, key)
-    up = above(F.col("path"))
-    chain = paths.select(key, F.posexplode(F.concat(F.transform(up, lambda a: a["pos"]), F.array("pos"))).alias("indent", "pos")).distinct()
-    a = F.col("attrs")
-    role = first_filled(html_attr(a, "role"), html_attr(a, "aria-label"))
+    d = pin(df.select(key, "els", "cands", F.transform("places", lambda p: F.struct(p["cand_pos"].alias("cand_pos"), F.concat(above(p["path"]), F.slice(p["path"], -1, 1)).alias("path"))).alias("_p")).filter(F.size("_p") > 0), "_p")
+    chain = F.array_sort(F.array_distinct(F.flatten(F.transform("_p", lambda p: F.transform(p["path"], lambda n, i: F.struct(n["pos"].alias("pos"), i.alias("indent")))))))
+    d = pin(d.withColumn("_chain", chain).withColumn("_lines", F.transform("cands", lambda c, i: tree_line(c, i, compact))), "_chain", "_lines")
     opt = lambda label, v: F.when(v != "", F.concat(F.lit(f" {label}="), v)).otherwise("")
-    plain = F.concat(F.lit("<"), "tag", opt("id", html_attr(a, "id")), opt("class", F.substring(html_attr(a, "class"), 1, 30)), opt("role", F.substring(role, 1, 30)), F.lit(">"))
-    anc = chain.join(n.select(key, "pos", plain.alias("plain")), [key, "pos"])
-    first = matched.groupBy(key, "pos").agg(F.min("cand_pos").alias("cand_pos"))
-    lines = cand.join(first, [key, "cand_pos"]).select(key, "pos", tree_line(compact).alias("line"))
-    d = anc.join(lines, [key, "pos"], "left").select(key, "pos", F.concat(F.repeat(F.lit("  "), F.col("indent")), F.coalesce("line", "plain")).alias("line"))
-    return d.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n").alias("tree"))
 
+    def show(n: Column) -> Column:
+        e = F.element_at(F.filter("els", lambda x: x["pos"] == n["pos"]), 1)
+        mine = F.array_min(F.transform(F.filter("_p", lambda p: F.element_at(p["path"], -1)["pos"] == n["pos"]), lambda p: p["cand_pos"]))
+        plain = lambda x: F.concat(F.lit("<"), x["tag"], opt("id", x["id"]), opt("class", x["cls"]), opt("role", F.substring(first_filled(x["role"], x["aria"]), 1, 30)), F.lit(">"))
+        return F.concat(F.repeat(F.lit("  "), n["indent"].cast("int")), F.coalesce(F.element_at("_lines", mine + 1), plain(e)))
+
+    return d.select(key, F.array_join(F.transform("_chain", show), "\n").alias("tree"))
 
-def tree_line(compact: bool) -> Column:
-    pairs = ps.attr_pairs("attrs")
 
+def tree_line(c: Column, at: Column, compact: bool) -> Column:
+    """Line of candidate struct `c` at 0-based position `at`."""
     def line(p: Column) -> Column:
         back = F.filter(F.transform(F.array(*[F.lit(k) for k in ("aria-label", "placeholder", "title", "role", "name")]),
                                     lambda k: F.struct(k.alias("k"), F.try_element_at(F.filter(p, lambda x: (x["k"] == k) & (x["v"] != "")), F.lit(-1))["v"].alias("v"))), lambda s: s["v"].isNotNull())
         alt = F.try_element_at(back, F.lit(1))
-        t = tx.strip(tx.text("text"))
+        t = tx.strip(tx.text(c["text"]))
         shown = F.when(t != "", t).when(alt.isNotNull(), F.concat(F.lit("["), alt["k"], F.lit(":"), F.substring(alt["v"], 1, 30), F.lit("]"))).otherwise("")
-        keys = TREE_ATTRS_COMPACT if compact else TREE_ATTRS
+        keys = LIST_ATTRS_COMPACT if compact else TREE_ATTRS
         parts = F.filter(F.array(*[F.when(ps.pair(p, k) != "", F.concat(F.lit(f"{k}="), F.substring(ps.pair(p, k), 1, 50))) for k in keys]), lambda x: x.isNotNull())
-        return F.concat(F.lit("["), (F.col("cand_pos") + 1).cast("string"), F.lit("] <"), "tag", F.lit(">"), F.when(shown != "", F.concat(F.lit(" '"), F.substring(shown, 1, 50), F.lit("'"))).otherwise(""),
+        return F.concat(F.lit("["), (at + 1).cast("string"), F.lit("] <"), c["tag"], F.lit(">"), F.when(shown != "", F.concat(F.lit(" '"), F.substring(shown, 1, 50), F.lit("'"))).otherwise(""),
                         F.when(F.size(parts) > 0, F.concat(F.lit(" | "), F.array_join(parts, " | "))).otherwise(""))
 
-    return F.element_at(F.transform(F.array(pairs), line), 1)
+    return F.element_at(F.transform(F.array(ps.attr_pairs(c["attrs"])), line), 1)

@@ -76,12 +76,18 @@ def cand_last(cand: DataFrame) -> DataFrame:
                        *[flag(F.col("last_op") == o).alias(f"last_op_{o}") for o in ("CLICK", "TYPE", "SELECT")])
 
 
-def cosine_vocabs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Word and character vocabularies fitted on candidate texts and, once per candidate, the task."""
-    elem = explode_candidates(df, False).select("id", "cand_pos", _elem().alias("_e"))
-    task = df.filter(F.size("cands") > 0).select("id", F.lit(-1).alias("cand_pos"), "task", F.size("cands").alias("_n"))
-    docs = lambda f: stack(elem.select("id", "cand_pos", F.lit(1).alias("n"), f("_e").alias("terms")),
-                           task.select("id", "cand_pos", F.col("_n").alias("n"), f("task").alias("terms")))
+def cosine_vocabs(df: DataFrame, folds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Word and character vocabularies fitted on candidate texts and, once per candidate, the task.
+
+    With `folds`, `df` has `fold`, and the vocabularies are those of all folds (see `tfidf.fit_folds`).
+    """
+    more = ["fold"] if folds else []
+    elem = explode_candidates(df, False, ("id", *more)).select("id", "cand_pos", *more, _elem().alias("_e"))
+    task = df.filter(F.size("cands") > 0).select("id", F.lit(-1).alias("cand_pos"), *more, "task", F.size("cands").alias("_n"))
+    docs = lambda f: stack(elem.select("id", "cand_pos", *more, F.lit(1).alias("n"), f("_e").alias("terms")),
+                           task.select("id", "cand_pos", *more, F.col("_n").alias("n"), f("task").alias("terms")))
+    if folds:
+        return tuple(tfidf.fit_folds(docs(f), ("terms",), folds, size, 2, "n") for f, size in ((tfidf.word_terms, WORD_FEATURES), (tfidf.char_terms, CHAR_FEATURES)))
     word = tfidf.fit(docs(tfidf.word_terms), ("id", "cand_pos"), ("terms",), WORD_FEATURES, 2, "n")
     char = tfidf.fit(docs(tfidf.char_terms), ("id", "cand_pos"), ("terms",), CHAR_FEATURES, 2, "n")
     return word, char
@@ -91,14 +97,15 @@ def _elem() -> Column:
     return F.concat(F.col("text"), F.lit(" "), F.col("attrs"))
 
 
-def cand_cosine(cand: DataFrame, word: DataFrame, char: DataFrame) -> DataFrame:
-    """cos_w_task_elem, cos_w_hist_elem, cos_c_task_elem per (id, cand_pos)."""
+def cand_cosine(cand: DataFrame, word: DataFrame, char: DataFrame, folds: int | None = None) -> DataFrame:
+    """cos_w_task_elem, cos_w_hist_elem, cos_c_task_elem per (id, cand_pos); with `folds` one of each per fold, ending in its number."""
     w = tfidf.cosine(cand.select("id", "cand_pos", tfidf.word_terms(_elem()).alias("e"), tfidf.word_terms("task").alias("t"), tfidf.word_terms("history").alias("h")),
-                     ("id", "cand_pos"), "e", ("t", "h"), word)
+                     ("id", "cand_pos"), "e", ("t", "h"), word, folds)
     c = tfidf.cosine(cand.select("id", "cand_pos", tfidf.char_terms(_elem()).alias("e"), tfidf.char_terms("task").alias("t")),
-                     ("id", "cand_pos"), "e", ("t",), char)
-    return w.select("id", "cand_pos", F.col("cos_t").alias("cos_w_task_elem"), F.col("cos_h").alias("cos_w_hist_elem")).join(
-        c.select("id", "cand_pos", F.col("cos_t").alias("cos_c_task_elem")), ["id", "cand_pos"])
+                     ("id", "cand_pos"), "e", ("t",), char, folds)
+    ends = [""] if folds is None else [f"_{i}" for i in range(folds)]
+    return w.select("id", "cand_pos", *[F.col(f"cos_{o}{e}").alias(f"cos_w_{n}_elem{e}") for o, n in (("t", "task"), ("h", "hist")) for e in ends]).join(
+        c.select("id", "cand_pos", *[F.col(f"cos_t{e}").alias(f"cos_c_task_elem{e}") for e in ends]), ["id", "cand_pos"])
 
 
 def cand_affinity(cand: DataFrame, probs: DataFrame, priors: DataFrame, default: float = 1e-4) -> DataFrame:
@@ -128,11 +135,29 @@ def features_v1(df: DataFrame, probs: DataFrame, priors: DataFrame, vocabs: tupl
     """All first-generation candidate features (long frame)."""
     cand = candidate_frame(df, with_label)
     d = cand_last(cand_overlap(cand_base(cand))).join(cand_cosine(cand, *vocabs), ["id", "cand_pos"])
+    return _v1_rest(d, probs, priors, ("id", "candidate_id", *(["is_target"] if with_label else [])))
+
+
+def _v1_rest(d: DataFrame, probs: DataFrame, priors: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """What of the first-generation features needs the cosines, the op probabilities or the other candidates."""
     d = rk.with_tag_count(rk.group_norm(d, NORMED))
-    keep = ["id", "candidate_id", *(["is_target"] if with_label else [])]
     return cand_affinity(d, probs, priors).select(*keep, *V1_FEATURES)
 
 
+def features_v1_folds(df: DataFrame, vocabs: tuple[DataFrame, DataFrame], folds: int) -> DataFrame:
+    """The part of the features that is worked out once for all folds: `df` has `fold`; cosines end in the fold's number."""
+    cand = candidate_frame(df, True, ("id", "fold", "task", "history"))
+    drop = ("task", "history", "text", "attrs", "_task", "_hist", "_last", "_texts")
+    return cand_last(cand_overlap(cand_base(cand))).drop(*drop).join(cand_cosine(cand, *vocabs, folds), ["id", "cand_pos"])
+
+
+def features_v1_of(shared: DataFrame, fold: int, folds: int, probs: DataFrame, priors: DataFrame) -> DataFrame:
+    """All first-generation features for one fold, with `fold`, from the shared part."""
+    cos = NORMED[:3]
+    d = shared.withColumns({c: F.col(f"{c}_{fold}") for c in cos}).drop(*[f"{c}_{i}" for c in cos for i in range(folds)])
+    return _v1_rest(d, probs, priors, ("id", "fold", "candidate_id", "is_target"))
+
+
 # ---------------------------------------------------------------- second generation
 
 V2_FEATURES = (

@@ -258,6 +258,12 @@ def _described(df):
     return df.select(*[r6(c).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
+@query("q8_6_quantiles", "select unnest([0.01, 0.25, 0.5, 0.75, 0.95, 0.999])::double as p, round(unnest(quantile_cont(l_extendedprice * (1 - l_discount), [0.01, 0.25, 0.5, 0.75, 0.95, 0.999])), 6) as value from lineitem", needs=None)
+def _(fx):
+    d = fx.table("lineitem").select((F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
+    return pf.quantiles(d, "v", (0.01, 0.25, 0.5, 0.75, 0.95, 0.999)).select("p", r6("value").alias("value"))
+
+
 @query("q8_6_describe_metric", _describe_sql("decisions", ["n_cands", "length(task)", "length(value)"]).replace("'length(task)'", "'task_len'").replace("'length(value)'", "'value_len'"))
 def _(fx):
     d = fx.decisions.select("n_cands", F.length("task").alias("task_len"), F.length("value").alias("value_len"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import parse as ps, text as tx
 from ..operators import rank as rk, rows as rw, split as sp
 from ..sources import io
+from ..sources.schema import CANDIDATES
 from .registry import TRAIN_SITES, query, sql_common, sql_jaccard, sql_toks, sql_tokset, sql_words, sql_wordset
 
 
@@ -44,6 +45,26 @@ def _(fx):
         tx.text("c.attrs").alias("attrs"), "n")
 
 
+_OPEN = """from (select c.*, id % 10 = 3 as cut, id % 7 = 2 as more from candidates c join (select id as did from decisions) d on did = id) x"""
+
+
+@query("q1_9_parse_open", f"""select id, cand_pos, concat(attrs, case when more then concat(' | rank=', cand_pos, ' | seen={{{{"at":[1,null]}}}}') else '' end) as attrs from (select *, not cut as keep {_OPEN}) y where keep""".replace("{{", "{").replace("}}", "}"))
+def _(fx):
+    # one row in seven has candidates with two keys of its own, one row in ten is cut short
+    more = F.to_json(F.transform(F.from_json("candidate_elements", CANDIDATES), lambda c, i: F.struct(
+        c["candidate_id"].alias("candidate_id"), c["tag"].alias("tag"), c["text"].alias("text"), c["attrs"].alias("attrs"), i.alias("rank"),
+        F.struct(F.array(F.lit(1), F.lit(None).cast("int")).alias("at")).alias("seen"))))
+    src = F.when(F.col("id") % 10 == 3, F.expr("left(candidate_elements, length(candidate_elements) - 2)")).when(F.col("id") % 7 == 2, more).otherwise(F.col("candidate_elements"))
+    good, _ = io.parse_candidates_open(fx.decisions.select("id", src.alias("candidate_elements")))
+    return io.with_extra_keys(good).select("id", F.posexplode("cands").alias("cand_pos", "c")).select("id", "cand_pos", "c.attrs")
+
+
+@query("q1_9_rejects", "select id, 'malformed' as reason from decisions where id % 10 = 3")
+def _(fx):
+    src = F.when(F.col("id") % 10 == 3, F.expr("left(candidate_elements, length(candidate_elements) - 2)")).otherwise(F.col("candidate_elements"))
+    return io.parse_candidates_open(fx.decisions.select("id", src.alias("candidate_elements")))[1].select("id", "reason")
+
+
 # ---------------------------------------------------------------- projections and filters
 
 @query("q2_1_explode_candidates", """

@@ -1,14 +1,16 @@
 """Queries over training records."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import parse as ps
-from ..operators import corpus as cp, evaluate as ev, rank as rk, retrieve as rt, rules as rl, rows as rw
+from ..operators import corpus as cp, dom, evaluate as ev, rank as rk, retrieve as rt, rules as rl, rows as rw
 from .basic import r6
 from .pages import candidates, decision_stream
-from .registry import query
-from .retrieval import examples
+from .registry import once, query
+from .retrieval import EXAMPLE_LINES, examples, sql_newest
 from .scoring import BASE, _MATCH
 
 COLS = (*BASE, "cleaned_html")
@@ -50,9 +52,10 @@ wf as (select id, case when id % 3 = 0 then regexp_extract(cleaned_html, 'curren
  case when id % 3 = 0 then trim(regexp_extract(cleaned_html, 'Completed:\\s*([^\\n<]+)', 1)) end as done from decisions)"""
 
 
-def _prompt_sql(n="d.n_cands"):
+def _prompt_sql(n="d.n_cands", block=None):
     answer = _q(cp.ANSWER).replace("%s", f"' || {n} || '")
-    return (f"{_q(cp.ROLE)} || chr(10) || chr(10) || '[Candidate Elements] (Total: ' || {n} || ')' || chr(10) || listed || chr(10) || chr(10) || '[Task]' || chr(10) || d.task || chr(10) || chr(10) || '[History]' || chr(10) || coalesce(short,'None') "
+    more = f"{block} || chr(10) || chr(10) || " if block else ""
+    return (f"{_q(cp.ROLE)} || chr(10) || chr(10) || {more}'[Candidate Elements] (Total: ' || {n} || ')' || chr(10) || listed || chr(10) || chr(10) || '[Task]' || chr(10) || d.task || chr(10) || chr(10) || '[History]' || chr(10) || coalesce(short,'None') "
             f"|| chr(10) || chr(10) || {_q(cp.GUIDE)} || chr(10) || chr(10) || {answer} || case when d.id % 3 = 0 then chr(10) || chr(10) || '[Workflow Status]' || chr(10) || 'Step ' || cur || ' of ' || tot || chr(10) || case when done<>'' then 'Completed Fields: ' || done || chr(10) else '' end else '' end")
 
 
@@ -68,7 +71,8 @@ def _(fx):
     return cp.build_prompt(fx.decisions.select(*COLS), variant="early").select("id", "prompt")
 
 
-@query("q11_4_prompt_with_examples")
+@query("q11_4_prompt_with_examples", sql_newest(3) + EXAMPLE_LINES + f""", {_SHORT}, pr as (select d.id, {_prompt_sql(block="concat('[Similar Past Examples]', chr(10), coalesce(xl.t, 'None'))")} as prompt
+ from decisions d join ls on ls.id=d.id join wf on wf.id=d.id left join sh on sh.id=d.id left join xl on xl.id=d.id) select id, length(prompt)::int as chars, md5(prompt) as digest from pr""")
 def _(fx):
     ex = examples(fx)
     blocks = rt.format_examples(ex, rt.retrieve(ex, ex, 3), ex)
@@ -76,14 +80,24 @@ def _(fx):
     return p.select("id", F.length("prompt").alias("chars"), F.md5("prompt").alias("digest"))
 
 
-_TGT = """t as (select d.*, c.tag, case when trim(c.text)<>'' then trim(c.text) else c.label end as lab, d.target_pos + 1 as choice,
+def _fill(template: str, *parts: str) -> str:
+    """SQL text of a sentence with numbered places."""
+    pieces = re.split(r"%(\d)\$s", template)
+    return "concat(" + ", ".join(_q(p) if i % 2 == 0 else parts[int(p) - 1] for i, p in enumerate(pieces)) + ")"
+
+
+def _said(sentences, *parts: str) -> str:
+    return "case op when 'CLICK' then " + _fill(sentences["CLICK"], *parts) + " when 'TYPE' then " + _fill(sentences["TYPE"], *parts) + " else " + _fill(sentences["SELECT"], *parts) + " end"
+
+
+_TGT = f"""t as (select d.*, c.tag, case when trim(c.text)<>'' then trim(c.text) else c.label end as lab, d.target_pos + 1 as choice,
  (select min(o.cand_pos)+1 from candidates o where o.id=d.id and o.tag=c.tag and o.cand_pos<>d.target_pos) as sim from decisions d join candidates c on c.id=d.id and c.candidate_id=d.target_id),
-el as (select *, concat('element [', choice, '] <', tag, '> ''', substr(lab,1,20), '''') as el, case when sim is null then '' else concat(' (choosing this over El.', sim, ' due to closer task relevance)') end as con, substr(trim(task),1,40) as goal from t)"""
-_WHY = """substr(case op when 'CLICK' then concat('To ''', goal, ''', I need to CLICK ', el, con, '.') when 'TYPE' then concat('For ''', goal, ''', I will TYPE ''', substr(value,1,20), ''' into ', el, con, '.')
- else concat('To fulfill ''', goal, ''', I must SELECT ''', substr(value,1,20), ''' using ', el, con, '.') end, 1, 200)"""
+el as (select *, concat(tag, ' number ', choice, ' (', substr(lab,1,20), ')') as el, case when sim is null then '' else {_fill(cp.CONTRAST, "sim")} end as con, substr(trim(task),1,40) as goal from t)"""
+_WHY = f"substr({_said(cp.REASON, 'goal', 'el', _q(''), 'con', 'substr(value,1,20)')}, 1, 200)"
+_EARLY = _said(cp.REASON_EARLY, _q(""), "concat('Number ', choice, ', ', tag, ' ', substr(lab,1,40))", _q(""), _q(""), "substr(value,1,30)")
 
 
-@query("q11_5_reasoning", f"with {_TGT} select id, {_WHY} as why, case op when 'CLICK' then concat('The task requires a click action. Element ', choice, ' (', tag, ': ', substr(lab,1,40), ') matches the target.') when 'TYPE' then concat('The task requires typing ''', substr(value,1,30), '''. Element ', choice, ' (', tag, ': ', substr(lab,1,40), ') is the input field.') else concat('The task requires selecting ''', substr(value,1,30), '''. Element ', choice, ' (', tag, ': ', substr(lab,1,40), ') has matching options.') end as why_early from el")
+@query("q11_5_reasoning", f"with {_TGT} select id, {_WHY} as why, {_EARLY} as why_early from el")
 def _(fx):
     c, pos = rw.candidate_of("target_id"), F.col("target_pos") + 1
     d = fx.decisions.select("id", "task", "op", "value", "cands", pos.alias("choice"), c.alias("c"))
@@ -119,8 +133,7 @@ hn as (select id, cand_pos as neg_pos, total from (select *, row_number() over (
 
 @query("q11_7_hard_negative", _HARD.replace("{near}", "case when near then 1.5 else 0 end") + " select d.id, neg_pos, round(total,6) as neg_score from decisions d left join hn on hn.id=d.id")
 def _(fx):
-    d = fx.decisions.select(*COLS)
-    h = cp.hard_negative(d, cp.page_places(d))
+    h = cp.hard_negative(dom.with_places(fx.decisions.select(*COLS)))
     return h.select("id", "neg_pos", r6("neg_score").alias("neg_score"))
 
 
@@ -130,13 +143,13 @@ def _(fx):
     return h.select("id", "neg_pos", r6("neg_score").alias("neg_score"))
 
 
-_AUG = """with cp as (select d.id, a.aug, c.candidate_id, c.tag, d.target_id, d.n_cands, row_number() over (partition by d.id, a.aug order by md5(concat('42|', d.id, '|', a.aug, '|', c.candidate_id)), c.cand_pos) - 1 as p
- from decisions d join candidates c on c.id=d.id join (select unnest([1,2,3]) as aug) a on a.aug <= case when contains(cleaned_html,'workflow-context') or contains(cleaned_html,'completed-fields') then 1 else 3 end),
+_AUG = """with cp as (select d.id, d.aug, c.candidate_id, c.tag, d.target_id, d.n_cands, row_number() over (partition by d.id, d.aug order by md5(concat('42|', d.id, '|', d.aug, '|', c.candidate_id)), c.cand_pos) - 1 as p
+ from (select id, target_id, n_cands, unnest(case when contains(cleaned_html,'workflow-context') or contains(cleaned_html,'completed-fields') then [1] else [1,2,3] end) as aug from decisions) d join candidates c on c.id=d.id),
 tp as (select id, aug, p as tp, tag as ttag from cp where candidate_id=target_id), hp as (select cp.id, cp.aug, tp, min(p) filter (where p<>tp and tag=ttag) as hn, case when tp>0 then tp-1 else tp+1 end as sw from cp join tp on tp.id=cp.id and tp.aug=cp.aug group by cp.id, cp.aug, tp),
 fin as (select cp.id, cp.aug, candidate_id, (case when hn is null or sw >= n_cands then p when p=hn then sw when p=sw then hn else p end)::int as new_pos from cp join hp on hp.id=cp.id and hp.aug=cp.aug)"""
 
 
-@query("q11_9_augment_shuffle", _AUG + " select id, aug, new_pos, candidate_id from fin")
+@query("q11_9_augment_shuffle", once(_AUG) + " select id, aug, new_pos, candidate_id from fin")
 def _(fx):
     d = rw.with_html_type(fx.decisions.select("id", "cands", "target_id", "cleaned_html")).drop("cleaned_html")
     a = cp.augment_shuffle(d, 1, 3)
@@ -159,11 +172,34 @@ def _(fx):
 
 
 def _preference(fx):
-    d = fx.decisions.select(*COLS)
-    return cp.build_corpus(d, "preference", cp.page_places(d))
-
-
-@query("q11_11_corpus_preference")
+    return cp.build_corpus(dom.with_places(fx.decisions.select(*COLS)), "preference")
+
+
+def _preference_sql() -> str:
+    """Every copy's list and sentences by the positions of that copy; the wrong answer is chosen once, on the original order."""
+    line = _LINE.replace("cand_pos", "new_pos")
+    bad = f"case when d.op <> 'CLICK' and {_HASH.replace('id)', 'd.id)')}/4294967296.0::double < 0.33 then {{}} else {{}} end"
+
+    def side(c, op, value):
+        el = f"concat({c}.tag, ' number ', {c}.new_pos + 1, ' (', substr({c}.lab, 1, 20), ')')"
+        con = f"case when {c}.sim is null then '' else {_fill(cp.CONTRAST, f'{c}.sim')} end"
+        place = f"case when {c}.placed then {_fill(cp.PLACE, _q('section#current workflo'))} else '' end"
+        why = _said(cp.REASON, "substr(trim(d.task), 1, 40)", el, place, con, f"substr({value}, 1, 20)").replace("case op", f"case {op}")
+        return f"""concat('<think>', chr(10), substr({why}, 1, 200), chr(10), '</think>', chr(10), '{{"op":"', {op}, '","choice":', {c}.new_pos + 1, ',"value":"', {value}, '"}}')"""
+
+    return (_AUG + ", " + _HARD.strip()[len("with "):].replace("{near}", "case when near then 1.5 else 0 end") + f""",
+ po as materialized (select id, aug, candidate_id, new_pos from fin union all select c.id, 0, c.candidate_id, c.cand_pos from candidates c join decisions d on d.id = c.id),
+ pc as (select po.aug, po.new_pos, c.*, case when trim(c.text) <> '' then trim(c.text) else c.label end as lab, d.id % 3 = 0 and c.tag = 'input' and c.name = tn.name as placed
+  from po join candidates c on c.candidate_id = po.candidate_id and c.id = po.id join decisions d on d.id = c.id join candidates tn on tn.id = d.id and tn.candidate_id = d.target_id),
+ ps as materialized (select *, case when min(new_pos) over (partition by id, aug, tag) <> new_pos then min(new_pos) over (partition by id, aug, tag) + 1 else min(new_pos) over (partition by id, aug, tag order by new_pos rows between 1 following and unbounded following) + 1 end as sim from pc),
+ pl as (select id, aug, string_agg({line}, chr(10) order by new_pos) as listed from ps group by id, aug), {_SHORT.replace("ls as (", "ls0 as (").replace("hp as (", "hs as (").replace("from hp)", "from hs)")}
+ select d.id, g.aug::int as aug, case when d.id % 3 = 0 then 'workflow' else 'real_web' end as html_type, md5('### Instruction:' || chr(10) || {_prompt_sql().replace("listed", "pl.listed")} || chr(10) || chr(10) || '### Response:' || chr(10)) as prompt_digest,
+  {side("g", "d.op", "d.value")} as chosen, {side("w", "(" + bad.format("'CLICK'", "d.op") + ")", "(" + bad.format("''", "d.value") + ")")} as rejected
+ from hn join decisions d on d.id = hn.id join ps g on g.id = d.id and g.candidate_id = d.target_id join candidates wc on wc.id = hn.id and wc.cand_pos = hn.neg_pos join ps w on w.id = d.id and w.aug = g.aug and w.candidate_id = wc.candidate_id
+ join pl on pl.id = d.id and pl.aug = g.aug join wf on wf.id = d.id left join sh on sh.id = d.id""")
+
+
+@query("q11_11_corpus_preference", _preference_sql())
 def _(fx):
     c = _preference(fx)
     return c.select("id", "aug", "html_type", F.md5("prompt").alias("prompt_digest"), "chosen", "rejected")

@@ -12,7 +12,7 @@ from ..sources import io
 from ..sources.schema import OPS
 from ..streaming import scoring as st
 from .basic import r6
-from .registry import query
+from .registry import once, query
 from .scoring import BASE, _ANSWER, _CLICKABLE, _GUARD_OUT, _GUARD_TAIL, _LOOSE, _MATCH, _OPTS
 
 COLS = (*BASE, "cleaned_html")
@@ -49,7 +49,7 @@ def _(fx):
 # ---------------------------------------------------------------- models
 #
 # A fitted number has no SQL form. Each query gives what SQL can state exactly: which rows were held out, their folds
-# and counts, and whether the fitted part keeps its bounds. Model queries run the defaults of `operators.models`; cross validation says its own.
+# and counts, and whether the fitted part keeps its bounds. Model queries run the defaults of `operators.models`.
 
 _ROW_VALID = "(select id from (select id, row_number() over (order by md5(concat('0|', id)), id::varchar) <= floor(count(*) over () * 0.2) as v from decisions) q where v)"
 
@@ -105,6 +105,21 @@ def _(fx):
     return _ranks(md.fit_ranker_v2(fx.decisions.select(*COLS), kind="pointwise")[2])
 
 
+@query("q14_3_listwise_ranker", _RANKED)
+def _(fx):
+    return _ranks(md.fit_ranker_v2(fx.decisions.select(*COLS), kind="listwise")[2])
+
+
+@query("q14_1_fit_op_trees", f"select op, count(*) as n, true as in_bounds from decisions where id in {_ROW_VALID} group by op")
+def _(fx):
+    d = sp.row_split(fx.decisions.select(*COLS))
+    p = md.fit_op_trees(md.op_inputs(d.filter("not is_valid"))).predict(md.op_inputs(d.filter("is_valid")))
+    total, fine = sum((F.col(c) for c in md.PROBS), F.lit(0.0)), F.col("pred_op").isin(*OPS)
+    for c in md.PROBS:
+        fine = fine & _share(c)
+    return p.join(d.select("id", "op"), "id").groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.min(fine & (F.abs(total - 1) < 1e-9)).alias("in_bounds"))
+
+
 @query("q8_15_feature_importance", "select unnest([" + ", ".join(f"'{f}'" for f in V2_FEATURES) + "]) as feature, 1.0::double as total, true as in_bounds", needs=None)
 def _(fx):
     ranker, _, _ = md.fit_ranker_v2(fx.decisions.select(*COLS), kind="pointwise")
@@ -112,11 +127,10 @@ def _(fx):
     return imp.select("feature", F.round(imp.agg(F.sum("importance")).scalar(), 6).alias("total"), _share("importance").alias("in_bounds"))
 
 
-@query("q14_7_cross_validate", f"""with {_folds(2)}, c as (select fold::varchar as fold, count(*)::double as n from decisions join f using (site_token) group by fold)
+@query("q14_7_cross_validate", f"""with {_folds(5)}, c as (select fold::varchar as fold, count(*)::double as n from decisions join f using (site_token) group by fold)
 select fold, n, true as in_bounds from c union all select 'mean', avg(n), true from c""")
 def _(fx):
-    # every outer fold fits all stages anew, so this one query runs two outer and two inner folds
-    m = md.cross_validate(fx.decisions.select(*COLS), k=2, inner=2)
+    m = md.cross_validate(fx.decisions.select(*COLS))
     fine = F.lit(True)
     for c in ("op_acc", "target_id_acc", "value_acc"):
         fine = fine & _share(c) & (F.col("exact_match") <= F.col(c) + 1e-9)
@@ -167,6 +181,21 @@ def _(fx):
     return io.read_decisions(fx.spark, path).drop("cleaned_html", "candidate_elements")
 
 
+@query("q1_1_read_csv_ranges", "select id::varchar as id, site_token, task || chr(10) || '\"é\"' || chr(13) || chr(10) || ',' as task, history, op, target_id, value, n_cands::int as n_cands from decisions")
+def _(fx):
+    # one file, read in ranges of 1 MB, so that records with line breaks and quotes lie across their borders
+    path, size = _out(fx, "csv"), "spark.sql.files.maxPartitionBytes"
+    d = fx.decisions.select(F.col("id").cast("string").alias("id"), "site_token", F.concat("task", F.lit('\n"é"\r\n,')).alias("task"), "history", F.lit("").alias("cleaned_html"), "candidate_elements", "op", "target_id", "value")
+    d.coalesce(1).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    before = fx.spark.conf.get(size)
+    fx.spark.conf.set(size, "1m")
+    try:
+        back = md.materialize(io.read_decisions(fx.spark, path, split=True), "csv-read")
+    finally:
+        fx.spark.conf.set(size, before)
+    return io.parse_candidates(back).select("id", "site_token", "task", "history", "op", "target_id", "value", F.size("cands").alias("n_cands"))
+
+
 @query("q1_7_write_corpus", "select case when contains(cleaned_html,'workflow-context') or contains(cleaned_html,'completed-fields') then 'workflow' else 'real_web' end as html_type, id, op from decisions")
 def _(fx):
     path = _out(fx, "corpus")
@@ -203,7 +232,7 @@ _STREAMED = (_ANSWER + ", " + _MATCH.strip()[len("with "):] + _OPTS + """, p9 as
              + _CLICKABLE + _GUARD_TAIL.replace("{src}", "p9"))
 
 
-@query("q13_1_score_stream", _STREAMED + "select id::varchar as id, op, target_id, case when op='CLICK' then '' else v2 end as value from g6")
+@query("q13_1_score_stream", once(_STREAMED) + "select id::varchar as id, op, target_id, case when op='CLICK' then '' else v2 end as value from g6")
 def _(fx):
     out = _out(fx, "answers")
     st.score_stream(fx.spark, _stream_source(fx), out, _out(fx, "ckpt"), fx.spark.sparkContext.defaultParallelism).awaitTermination()
@@ -212,13 +241,21 @@ def _(fx):
     return streamed.select("id", "op", "target_id", "value")
 
 
+@query("q13_1_score_stream_once", once(_STREAMED) + "select id::varchar as id, op, target_id, case when op='CLICK' then '' else v2 end as value from g6")
+def _(fx):
+    # every file is delivered twice, and the second time dealt out otherwise
+    src, out = _stream_source(fx), _out(fx, "answers")
+    fx.spark.read.parquet(src).repartition(fx.spark.sparkContext.defaultParallelism + 1).write.mode("append").parquet(src)
+    st.score_stream(fx.spark, src, out, _out(fx, "ckpt"), fx.spark.sparkContext.defaultParallelism, once_within="30 days").awaitTermination()
+    return fx.spark.read.parquet(out).select("id", "op", "target_id", "value")
+
+
 @query("q13_2_running_counts", _STREAMED + ", fl as (select op," + _GUARD_OUT.format(strict=_LOOSE) + " from g6), ct2 as (select concat('op=', op) as item, count(*) as n from fl group by op" + "".join(
     f" union all select '{f}', count(*) filter (where {f}) from fl" for f in rl.AUDIT) + ") select item, n from ct2 where n > 0")
 def _(fx):
-    out, name = _out(fx, "answers"), "counts_" + uuid.uuid4().hex[:8]
+    out, counts = _out(fx, "answers"), _out(fx, "counts")
     st.score_stream(fx.spark, _stream_source(fx), out, _out(fx, "ckpt"), fx.spark.sparkContext.defaultParallelism).awaitTermination()
     schema = fx.spark.read.parquet(out).schema
     answers = fx.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(out)
-    q = st.running_counts(answers).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _out(fx, "ckpt")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return fx.spark.table(name)
+    st.count_stream(answers, counts, _out(fx, "ckpt")).awaitTermination()
+    return st.totals(fx.spark, counts)

@@ -1,6 +1,7 @@
 """Registry of named queries; each has a Spark form and, where SQL can say it, a DuckDB form."""
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -30,6 +31,11 @@ def query(name: str, sql: str | None = None, needs: str | None = "decisions"):
     return add
 
 
+def once(sql: str) -> str:
+    """The text with every CTE worked out once and as it stands, so that no plan repeats it or reorders its joins."""
+    return re.sub(r"(\w+) as \(\s*(?=select)", r"\1 as materialized (", sql)
+
+
 # ---- snippets of DuckDB text used by several oracles
 
 def _stop_list(stop) -> str:

@@ -142,8 +142,9 @@ def test_retrieve_equals_sequential(spark, tiers):
     assert got == sorted(x for q in rows for x in sequential(rows, q, 3, tiers))
 
 
-def test_salted_groups_keep_results(spark, monkeypatch):
-    monkeypatch.setattr(rt, "HOT_GROUP", 5)
+def test_parts_and_cells_keep_results(spark, monkeypatch):
+    monkeypatch.setattr(rt, "PART", 4)
+    monkeypatch.setattr(rt, "ASKING", 3)
     test_retrieve_equals_sequential(spark, rt.TIERS)
 
 
