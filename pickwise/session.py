@@ -90,9 +90,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+_written: list[str] = []  # folders that this process has materialized
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared scratch folder and read it back (cuts the lineage)."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/pickwise/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written(since: int = 0) -> list[str]:
+    """Folders materialized so far, from the ``since``-th on."""
+    return _written[since:]
+
+
+def clear(spark: SparkSession, paths: list[str], keep: DataFrame | None = None) -> None:
+    """Delete materialized folders, but for those that ``keep`` reads. Frames that read the others are void then."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    held = {of(p).getParent().toUri().getPath() for p in keep.inputFiles()} if keep is not None else set()
+    for path in paths:
+        to = of(path)
+        if to.toUri().getPath() not in held:
+            to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
