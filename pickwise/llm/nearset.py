@@ -1,9 +1,10 @@
 """Near-duplicates by exact Jaccard of word shingles; of those linked the smallest id stays.
 
-A text is the set of its five-word shingles, as 64-bit hashes. Sixty-four SimHash bits can't find pairs at Jaccard
-0.8: such a pair differs in about ten bits, and a radius that misses few of them leaves no selective key. So
-candidates come from min-hashes: BANDS keys of ROWS each, chosen so that a pair at 0.8 has no key in common with
-probability (1 - 0.8 ** ROWS) ** BANDS = 5e-5. Every candidate is compared by its whole set.
+A text is the set of its five-word shingles, as 64-bit hashes. Candidates come from two sources. The first is the SimHash
+search of `simhash`, bit planes and all: fingerprints of the same shingles, and texts whose fingerprints links bring together
+have a key in common. Its 64 bits can't find all pairs at Jaccard 0.8: such a pair differs in about ten bits, and a radius
+that misses few of them leaves no selective key. So min-hashes add to it: BANDS keys of ROWS each, chosen so that a pair at
+0.8 has no key in common with probability (1 - 0.8 ** ROWS) ** BANDS = 5e-5. Every candidate is compared by its whole set.
 
 A text is dropped only for a text that stays and is similar itself, so the result is that of going through the texts
 by id. That is done inside a task for every group of texts that candidates connect: sorted by id, each text is compared
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pickwise.llm import simhash
 from pickwise.llm.common import discard, free_name, text_map
 from pickwise.llm.graph import components
 from pickwise.llm.textbytes import mix, span_hashes, window_hashes, word_hashes, words_of, WORD_BASE
@@ -48,26 +50,28 @@ def band_keys(s: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sig, same, keys): sig is Spark's xxhash64 of the text, same a hash of the whole shingle set."""
+    """(id, sig, same, fp, keys): sig is Spark's xxhash64 of the text, same a hash of the whole shingle set, fp the SimHash fingerprint."""
     from xxhash import xxh64_intdigest
 
     def rows(text):
         s = shingles(text)
         sig = 42 if text is None else np.uint64(xxh64_intdigest(text.encode(), 42)).astype(np.int64).item()
         same = np.uint64(xxh64_intdigest(s.astype("<u8").tobytes(), 7)).astype(np.int64).item()
-        yield sig, same, band_keys(s).view(np.int64).tolist()
+        yield sig, same, np.uint64(simhash.fingerprint(text, SHINGLE)).astype(np.int64).item(), band_keys(s).view(np.int64).tolist()
 
     named = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    return text_map(named, "sig bigint, same bigint, keys array<bigint>", rows, "id", "text")
+    return text_map(named, "sig bigint, same bigint, fp bigint, keys array<bigint>", rows, "id", "text")
 
 
 def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, sig) of the texts that stay."""
     made = materialize(sketches(docs, id_col, text_col), "sketches")
     # equal sets are one node, that of the smallest id
-    nodes = materialize(made.groupBy("same").agg(F.min(F.struct("id", "sig")).alias("at"), F.first("keys").alias("keys")).select("same", "at.id", "at.sig", "keys"), "nodes")
+    nodes = materialize(made.groupBy("same").agg(F.min(F.struct("id", "sig")).alias("at"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).select("same", "at.id", "at.sig", "fp", "keys"), "nodes")
     discard(made)
-    keyed = materialize(nodes.select("same", "id", F.explode("keys").alias("key")), "keys")
+    worded = nodes.where(F.size("keys") > 0)  # texts without a word are one node, and like no other
+    linked = worded.join(simhash_roots(worded), "fp").select("same", "id", F.xxhash64(F.lit("simhash"), "root").alias("key"))
+    keyed = materialize(nodes.select("same", "id", F.explode("keys").alias("key")).unionByName(linked), "keys")
     shared = materialize(keyed.groupBy("key").count().where("count > 1").select("key"), "shared-keys")
     live = materialize(keyed.join(shared, "key", "left_semi"), "live")
     discard(keyed, shared)
@@ -94,6 +98,12 @@ def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return nodes.join(out, "same", "left_anti").select("id", "sig")
 
 
+def simhash_roots(nodes: DataFrame) -> DataFrame:
+    """(fp, root): every fingerprint with that of its links; equal fingerprints need no link to have a root."""
+    return (nodes.select("fp").distinct().join(simhash.roots(nodes).withColumnRenamed("node", "fp"), "fp", "left")
+            .select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets share at least SHARED of OF_UNION of their shingles."""
     if OF_UNION * min(len(a), len(b)) < SHARED * max(len(a), len(b)):
@@ -154,7 +164,7 @@ def candidate_groups(live: DataFrame) -> DataFrame:
 def decided(live: DataFrame, group: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``same`` of those that go, of whole groups (same, root), each gone through by id inside one task."""
     size = live.groupBy("key").agg(F.count("*").alias("n"))
-    keys = live.join(size.where("n > 1"), "key").groupBy("same", "id").agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("n"))  # at most BANDS
+    keys = live.join(size.where("n > 1"), "key").groupBy("same", "id").agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("n"))  # at most BANDS + 1
     rows = keys.join(group, "same").join(sets, "same").select("root", "id", "same", "keys", "n", "set")
 
     def run(batches):

@@ -167,6 +167,11 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> Da
     return met(tiled(keyed, keys, "fp"), keys).mapInArrow(run, "a bigint, b bigint")
 
 
+def roots(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, root) of the fingerprints that links bring together."""
+    return materialize(components(links(fps, radius)), "roots")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id reachable by links.
 
@@ -176,7 +181,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3, id_
     fps = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash")
     named = fps.where(F.col(id_col).isNotNull())
     first = named.groupBy("fp").agg(F.min(id_col).alias("first_id"))
-    root = materialize(components(links(named, radius)), "roots")
+    root = roots(named, radius)
     own = first.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = own.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = materialize(own.select("fp", "root").join(low, "root").select("fp", "component_id"), "components")

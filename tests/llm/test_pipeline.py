@@ -90,6 +90,19 @@ def test_near_dedup_of_chains_and_hubs(spark, monkeypatch, in_task, hub):
     assert sorted(r["doc_id"] for r in got.collect()) == [i for i, _ in kept]
 
 
+def test_near_dedup_searches_by_simhash(spark, monkeypatch):
+    """Near copies within three bits are found by their SimHash fingerprints alone; what is linked but not similar stays."""
+    from pyspark.sql import functions as F
+    from pickwise.llm import nearset
+    plain = nearset.sketches
+    monkeypatch.setattr(nearset, "sketches", lambda *a: plain(*a).withColumn("keys", F.slice("keys", 1, 1)).withColumn("keys", F.transform("keys", lambda k: F.xxhash64("id"))))
+    base = [f"s{i}" for i in range(4000)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"z{i}" for i in range(300))]
+    assert bin(nearset.simhash.fingerprint(texts[0], 5) ^ nearset.simhash.fingerprint(texts[1], 5)).count("1") <= 3
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), None)
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 2]
+
+
 def test_stages_empty(spark, empty):
     assert stages(spark, empty)[-1].count() == 0
 
