@@ -41,3 +41,50 @@ def test_arrivals_hold_no_page(spark):
     QUERIES["q1_5_read_stream"](Fixture(spark, SF)).count()
     newest = max(glob.glob(f"{scratch_dir(spark)}/**/*arrivals*", recursive=True), key=lambda p: __import__("os").stat(p).st_mtime)
     assert "cleaned_html" not in spark.read.parquet(newest).columns
+
+
+def _tables(spark, tmp_path, part, lines):
+    """The smallest data folder with these parts and lines, and an order and customer for every line."""
+    import os
+    for f in os.listdir(SF):
+        if f not in ("part.parquet", "lineitem.parquet"):
+            os.symlink(f"{SF}/{f}", tmp_path / f)
+    spark.createDataFrame(part, "p_partkey bigint, p_name string, p_type string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_extendedprice double, l_shipdate date").write.parquet(str(tmp_path / "lineitem.parquet"))
+    return Fixture(spark, str(tmp_path))
+
+
+def test_lines_travel_with_their_part_only(spark, tmp_path):
+    fx = _tables(spark, tmp_path, [(1, "a b", "T", "B#1"), (2, "c", "T", "B#1")], [(1, 1, 1, 7, 2.0, None), (1, 2, 2, 7, 3.0, None)])
+    assert [r["x"]["tie"] for r in fx._lines(F.lit(True)).collect()] == [None, None]
+
+
+def test_lines_of_a_part_key_that_repeats_stay_together(spark, tmp_path):
+    parts = [(1, "a", "T", "B#1"), (1, "b", "T", "B#1")]
+    fx = _tables(spark, tmp_path, parts, [(1, 1, 1, s, 2.0, None) for s in (9, 8)] + [(1, 1, None, 7, 2.0, None)])
+    (row,) = fx._lists(F.lit(True)).collect()
+    assert [c["text"] for c in row["cs"]] == ["a", "b", "a", "b"]
+
+
+def test_slices_make_the_same_rows(spark, monkeypatch):
+    from pickwise.sources import fixtures
+    whole = Fixture(spark, SF).decisions
+    monkeypatch.setattr(fixtures, "SLICE", 2000)
+    fx = Fixture(spark, SF)
+    assert len(fx._made()) > 1
+    assert fx.decisions.exceptAll(whole).isEmpty() and whole.count() == fx.decisions.count() > 0
+
+
+def test_a_write_leaves_no_shuffle_files(spark):
+    import time
+    from pickwise.session import SHUFFLE_CLEANUP, materialize
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(disk.getAllFiles().apply(i)) for i in range(disk.getAllFiles().size())}
+    before, setting = files(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    made = materialize(spark.range(1000).repartition(4, "id"), "shuffled")
+    for _ in range(50):
+        left = {f for f in files() - before if "shuffle_" in f}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and made.count() == 1000 and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
