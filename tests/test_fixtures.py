@@ -75,16 +75,31 @@ def test_slices_make_the_same_rows(spark, monkeypatch):
     assert fx.decisions.exceptAll(whole).isEmpty() and whole.count() == fx.decisions.count() > 0
 
 
+def _shuffle_files(spark):
+    import glob
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*")}
+
+
 def test_a_write_leaves_no_shuffle_files(spark):
     import time
     from pickwise.session import SHUFFLE_CLEANUP, materialize
-    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    files = lambda: {str(disk.getAllFiles().apply(i)) for i in range(disk.getAllFiles().size())}
-    before, setting = files(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    before, setting = _shuffle_files(spark), spark.conf.get(SHUFFLE_CLEANUP, None)
     made = materialize(spark.range(1000).repartition(4, "id"), "shuffled")
     for _ in range(50):
-        left = {f for f in files() - before if "shuffle_" in f}
+        left = _shuffle_files(spark) - before
         if not left:
             break
         time.sleep(0.1)
     assert not left and made.count() == 1000 and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+
+
+def test_arrivals_are_not_shuffled(spark):
+    import os
+    from pickwise.plans.modelling import _stream_source
+    fx = Fixture(spark, SF)
+    n, files = fx.decisions.count(), _shuffle_files(spark)
+    path = _stream_source(fx)
+    assert sum(os.path.getsize(f) for f in _shuffle_files(spark) - files if f.endswith(".data")) < 20_000
+    made = spark.read.parquet(path)
+    assert made.count() == made.select("id").distinct().count() == n and len(made.inputFiles()) >= 2 * spark.sparkContext.defaultParallelism - 1
