@@ -300,3 +300,29 @@ def test_element_context_wide_parent(spark):
     got = {r["cand_pos"]: r["context"] for r in dom.element_context(me, stream).collect()}
     assert got[0] == "children:[p:t0, p:t1, p:t2]"
     assert got[1] == "near:[p:t1, p:t2, p:t3, p:t4, p:t5]" and got[5] == "prev:t1 | near:[p:t0, p:t1, p:t3, p:t4, p:t5]"
+
+
+def test_tfidf_fit_counts_places_and_documents(spark):
+    """Totals count every place, document frequencies every array once, by the weight of its row; null terms and rows with a null array count nothing."""
+    rows = [(1, 2, ["b", "a", "b"], ["b", None]), (1, 1, ["a", None, None], []), (2, 1, [], ["c", "a", "c"]), (None, 3, [], ["d"]), (3, 1, ["e"], None)]
+    d = spark.createDataFrame(rows, "id int, w int, x array<string>, y array<string>")
+    got = {r["term"]: (r["df"], r["total"]) for r in tfidf.fit(d, ("id",), ("x", "y"), weight="w").collect()}
+    assert got == {"a": (4, 4), "b": (4, 6), "c": (1, 2), "d": (3, 3)}
+    assert [r["term"] for r in tfidf.fit(d, ("id",), ("x", "y"), 2, 2, "w").collect()] == ["b", "a"]
+
+
+def test_tfidf_makes_terms_once(spark):
+    """One expression over the text per pass, and one row per term place for the vocabulary."""
+    d = spark.createDataFrame([(1, "red red box"), (2, "red box lid")], "id int, text string")
+    docs = d.select("id", tfidf.word_terms("text").alias("terms"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    vocab = tfidf.fit(docs, ("id",), ("terms",), 10, 2)
+    assert "array_distinct" not in plan(vocab) and plan(vocab).count("regexp_extract_all") == 1
+    assert plan(tfidf.weights(docs, ("id",), "terms", spark.createDataFrame([("red", 1.0)], "term string, idf double"))).count("regexp_extract_all") == 1
+    assert {(r["term"], r["df"], r["total"]) for r in vocab.collect()} == {("red", 2, 3), ("box", 2, 2), ("red box", 2, 2)}
+
+
+def test_word_ngrams(spark):
+    d = spark.createDataFrame([(["a", "b", "a"],), (["a"],), ([],), (None,)], "w array<string>")
+    got = [r[0] for r in d.select(tfidf.word_ngrams(F.col("w"), 3)).collect()]
+    assert got == [["a", "b", "a", "a b", "b a", "a b a"], ["a"], [], None]
