@@ -326,3 +326,10 @@ def test_word_ngrams(spark):
     d = spark.createDataFrame([(["a", "b", "a"],), (["a"],), ([],), (None,)], "w array<string>")
     got = [r[0] for r in d.select(tfidf.word_ngrams(F.col("w"), 3)).collect()]
     assert got == [["a", "b", "a", "a b", "b a", "a b a"], ["a"], [], None]
+
+
+def test_token_set_builds_no_set_of_stop_words(spark):
+    d = spark.createDataFrame([("The the map of a Map-view, x2 and x2",), ("of the and",), ("",), (None,)], "s string")
+    out = d.select(tx.token_set("s", ("the", "of", "and")).alias("t"))
+    assert [list(r.t) for r in out.collect()] == [["map", "map-view", "x2"], [], [], []]
+    assert "array_except" not in out._jdf.queryExecution().optimizedPlan().toString()
