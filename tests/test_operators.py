@@ -333,3 +333,35 @@ def test_token_set_builds_no_set_of_stop_words(spark):
     out = d.select(tx.token_set("s", ("the", "of", "and")).alias("t"))
     assert [list(r.t) for r in out.collect()] == [["map", "map-view", "x2"], [], [], []]
     assert "array_except" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_attr_pairs_take_one_pass(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "b", "aria_", "=", "=", "|", "|", " ", "\t", "\n", ":", "-", "é"]) for _ in range(rng.randrange(24))) for _ in range(400)] + [None]
+    d = spark.createDataFrame([(t,) for t in texts], "s string").select("s", ps.attr_pairs("s").alias("p"))
+    shape = re.compile(ps.ATTR_PAIR.replace(r"\s", r"[ \t\n\x0b\f\r]"))
+    for r in d.collect():
+        want = [(k.replace("_", "-") if k.startswith("aria_") else k, v.strip(tx.WHITE)) for k, v in shape.findall((r.s or "").strip(tx.WHITE))]
+        assert [tuple(p) for p in r.p] == want, repr(r.s)
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_list_shows_known_keys_in_order_and_last_value(spark):
+    c = [("c", "input", "t", "zz=9 | options=o | name=a | style=s | name=b | type= | type= | id=i | class=x | yy=8 | xx=7")]
+    d = decisions(spark, [(1, "t", "CLICK", "c", "", c)])
+    assert d.select(cp.format_candidates(F.col("cands")).alias("l")).first()["l"] == ' 1. [input] "t" | id=i | name=b | options=o | zz=9 | yy=8'
+    assert d.select(cp.format_candidates(F.col("cands"), "compact").alias("l")).first()["l"] == ' 1. [input] "t" | name=b | options=o'
+
+
+def test_corpus_parses_before_it_copies(spark):
+    d = decisions(spark, [(1, "Set the Country", "SELECT", "c_3", "UK", CANDS), (2, "Press", "CLICK", "c_2", "", CANDS)])
+    d = d.withColumn("history", F.lit("Step 1: [input] Username -> TYPE: x")).withColumn("cleaned_html", F.when(F.col("id") == 1, "workflow-context current step 3 of 7 Completed: Name").otherwise("<p>step"))
+    out = cp.build_corpus(d, "preference")
+    rows = {(r["id"], r["aug"]): r for r in out.collect()}
+    assert sorted(rows) == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (2, 3)]
+    want = cp.build_prompt(d).select("id", "prompt").collect()
+    assert all(rows[r["id"], 0]["prompt"] == f"### Instruction:\n{r['prompt']}\n\n### Response:\n" for r in want)
+    assert "Step 3 of 7" in rows[1, 1]["prompt"] and "[Workflow Status]" not in rows[2, 0]["prompt"]
+    assert "select number 3 (Country)" in rows[1, 0]["chosen"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.split("explode(sequence")[0]
