@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pickwise.functions import parse as ps, text as tx
-from pickwise.operators import corpus as cp, dom, evaluate as ev, rank as rk, retrieve as rt, rules as rl, split as sp, tfidf, votes
+from pickwise.operators import corpus as cp, dom, evaluate as ev, features as ft, rank as rk, retrieve as rt, rules as rl, split as sp, tfidf, votes
+from pickwise.operators.rows import explode_candidates
 from pickwise.sources import io
 
 
@@ -365,3 +366,18 @@ def test_corpus_parses_before_it_copies(spark):
     assert "select number 3 (Country)" in rows[1, 0]["chosen"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" not in plan.split("explode(sequence")[0]
+
+
+def test_cosines_are_counted_in_their_row(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice(["red", "blue", "Grün", "box", "a", "size-9", "", "x"]) for _ in range(n))
+    rows = [(i, i % 2, say(6), say(4), [(f"c{j}", "a", say(3), say(3)) for j in range(i % 4)]) for i in [*range(12), 5, 7]]
+    d = spark.createDataFrame(rows, f"id long, fold int, task string, history string, cands array<struct<{SCHEMA.replace(' string', ':string')}>>")
+    for folds, of in ((None, ("id", "task", "history")), (2, ("id", "fold", "task", "history"))):
+        vocabs = ft.cosine_vocabs(d, folds)
+        cand = explode_candidates(d, False, of)
+        got, want = ft.cand_cosine(cand, *vocabs, folds), ft._shuffled_cosine(cand, *vocabs, folds)
+        flat = lambda x: sorted([*map(str, r[:2]), *(round(v, 9) for v in r[2:])] for r in x.select("id", "cand_pos", *sorted(x.columns[2:])).collect())
+        assert flat(got) == flat(want) and any(sum(r[2:]) > 0 for r in flat(got))
+        single = ft.cand_cosine(cand.filter("id not in (5, 7)"), *vocabs, folds)
+        assert "Exchange hashpartitioning" not in single._jdf.queryExecution().executedPlan().toString()
