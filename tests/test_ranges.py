@@ -95,3 +95,14 @@ def test_other_ranges_than_counted_are_an_error(spark, tmp_path, small_ranges):
         assert "ranges changed" in str(e)
     else:
         assert n == 300
+
+
+def test_csv_query_writes_in_every_task(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+    from pickwise.plans import QUERIES, modelling
+    monkeypatch.setattr(modelling, "_out", lambda fx, name: str(tmp_path / name))
+    d = spark.range(0, 40, 1, 4).selectExpr("id", "'s' as site_token", "'t' as task", "'h' as history", "'CLICK' as op", "'c' as target_id", "'' as value",
+                                            """'[{"candidate_id":"c","tag":"a","text":"x","attrs":""}]' as candidate_elements""")
+    got = QUERIES["q1_1_read_csv_ranges"](SimpleNamespace(spark=spark, decisions=d)).collect()
+    assert sorted(int(r["id"]) for r in got) == list(range(40)) and {(r["task"], r["n_cands"]) for r in got} == {('t\n"é"\r\n,', 1)}
+    assert len(list((tmp_path / "csv").glob("part-*.csv"))) == 4
